@@ -14,9 +14,11 @@ comparing all pairs of a large group:
 2. in each entry of the index, all members are confirmed against the least one (a star), and linked
    vertices become components;
 3. in entries whose members still lie in different components, all pairs across components within the
-   signature distance are confirmed. A pair inside one component changes nothing and is skipped.
+   signature distance are found and their members tied together to clusters, and in a cluster all such pairs are
+   confirmed. A pair inside one component changes nothing and is skipped. No pair is ever a row in this step.
 
-Entries of more than ``BLOCK`` members are dealt in blocks or pairs of blocks to different tasks.
+Entries of more than ``BLOCK`` members and clusters of more than ``SET_BLOCK`` are dealt in pairs of blocks to
+different tasks.
 
 Nulls: a null text, an empty one and one without words have an empty set and link with nothing. Rows with a
 null id link with nothing. Repeated ids are one vertex. An empty table gives an empty result.
@@ -40,7 +42,9 @@ CHUNKS, PER_CHUNK = 8, 4
 SYMBOLS = CHUNKS * PER_CHUNK
 #: The most symbols that may differ; every chunk may then have one error: 2 * CHUNKS - 1.
 MAX_DISTANCE = 2 * CHUNKS - 1
-BLOCK = 4096
+BLOCK = 1024
+#: Members of a cluster whose full sets one task compares with as many others.
+SET_BLOCK = 512
 #: Of the members of entries, one in SAMPLE is looked at to find entries worth dealing out. This moves work
 #: between tasks and changes no result.
 SAMPLE, HOT_ENTRIES = 64, 256
@@ -208,6 +212,17 @@ def _shared(entries: DataFrame, hot: list[int]) -> DataFrame:
     )
 
 
+def _full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, members binary) of the texts whose ids are wanted: their shingles' hashes, sorted."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [s.tobytes() for s in shingle_sets(b["text"].to_pylist(), words)]
+            yield pa.record_batch([b["id"], pa.array(made, pa.binary())], names=["id", "members"])
+
+    return sized_join(texts, wanted, "id", "left_semi").mapInArrow(sets, "id long, members binary").where("octet_length(members) > 0").dropDuplicates(["id"])
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those within the signature distance whose full sets have 100 * both >= percent * either."""
     sig_a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
@@ -224,16 +239,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: in
     close = materialise(pairs.join(sig_a, "a").join(sig_b, "b").mapInArrow(near, "a long, b long"))
     wanted = materialise(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [s.tobytes() for s in shingle_sets(b["text"].to_pylist(), words)]
-            yield pa.record_batch([b["id"], pa.array(made, pa.binary())], names=["id", "members"])
-
-    full = (
-        sized_join(texts, wanted, "id", "left_semi").mapInArrow(sets, "id long, members binary")
-        .dropDuplicates(["id"])
-    )
-    full = materialise(full)
+    full = materialise(_full_sets(texts, wanted, words))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,44 +261,148 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: in
     return links
 
 
-def _across(shared: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one entry, of different components, within the signature distance."""
-    label = component.select(F.col("id").alias("rep"), "component")
-    members = shared.select("entry", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = materialise(
-        members.groupBy("entry").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo <> hi").select("entry", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    dealt = (
-        sized_join(members, mixed, "entry", "inner")
-        .join(classes.select("rep", "sig"), "rep")
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index reachable over the edges i - j."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, i, root[j])
+        np.minimum.at(least, j, root[i])
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _far_and_near(comp: np.ndarray, sig: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of different components within the signature distance; of different sides, if given."""
+    out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(comp), 256):  # a strip of the block at a time
+        to = min(len(comp), at + 256)
+        far = comp[at:to, None] != comp[None, :]
+        far &= np.arange(at, to)[:, None] < np.arange(len(comp))[None, :]
+        if side is not None:
+            far &= side[at:to, None] != side[None, :]
+        i, j = np.nonzero(far)
+        for k in range(0, len(i), 100_000):
+            x, y = at + i[k : k + 100_000], j[k : k + 100_000]
+            ok = (sig[x] != sig[y]).sum(axis=1) <= MAX_DISTANCE
+            out_i.append(x[ok])
+            out_j.append(y[ok])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def _in_blocks(members: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFrame:
+    """members with own, lo, hi: a group of more than block members becomes all pairs of its blocks."""
+    return (
+        sized_join(members, sizes.select(group, F.ceil(F.col("n") / block).cast("int").alias("blocks")), group, "inner")
         .withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("entry", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "sig")
+        .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+        .drop("blocks", "other")
+    )
+
+
+def _left_open(shared: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that tie together all members of entries that have a partner in another component within
+    the signature distance. A block returns a star for each group it finds, not its pairs."""
+    members = shared.select("entry", "rep").join(component, "rep")
+    mixed = materialise(
+        members.groupBy("entry").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+        .where("least <> most").select("entry", "n")
     )
+    dealt = _in_blocks(members, "entry", mixed, BLOCK).join(classes.select("rep", "sig"), "rep")
     keys = ["entry", "lo", "hi"]
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in key_runs(batches, keys):
+            starts = np.append(run_starts(rows, keys), rows.num_rows)
+            rep, comp, side = column(rows, "rep"), column(rows, "component"), column(rows, "own")
+            sig = fixed_binary(rows, "sig", np.uint16, SYMBOLS)
+            lo, hi = column(rows, "lo"), column(rows, "hi")
+            a, b = [], []
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                i, j = _far_and_near(comp[s:e], sig[s:e], side[s:e] if lo[s] != hi[s] else None)
+                root = _roots(e - s, i, j)
+                mine = np.flatnonzero(root != np.arange(e - s))
+                a.append(rep[s:e][root[mine]])
+                b.append(rep[s:e][mine])
+            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return (
+        dealt.select(*keys, "own", "rep", "component", "sig").repartition(*keys).sortWithinPartitions(*keys)
+        .mapInArrow(tie, "a long, b long").distinct()
+    )
+
+
+def _links_across(
+    shared: DataFrame, component: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """Edges (a, b) that join all components between which there is a confirmed link.
+
+    Members tied by _left_open() are a cluster; its full sets are compared in blocks, where a pair costs a few
+    nanoseconds for each shingle and is never a row."""
+    label = materialise(
+        classes.select("rep").join(component.withColumnRenamed("id", "rep"), "rep", "left")
+        .select("rep", F.coalesce("component", "rep").alias("component"))
+    )
+    cluster = materialise(connected_components(_left_open(shared, label, classes)).withColumnRenamed("component", "cluster"))
+    sizes = materialise(cluster.groupBy("cluster").agg(F.count("*").alias("n")))
+    wanted = materialise(cluster.select("id"))
+    full = materialise(_full_sets(texts, wanted, words))
+    members = (
+        full.withColumnRenamed("id", "rep").join(cluster.withColumnRenamed("id", "rep"), "rep")
+        .join(label, "rep").join(classes.select("rep", "sig"), "rep")
+    )
+    keys = ["cluster", "lo", "hi"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_runs(batches, keys):
             starts = np.append(run_starts(rows, keys), rows.num_rows)
             rep, comp, side = column(rows, "rep"), column(rows, "component"), column(rows, "own")
             sig = fixed_binary(rows, "sig", np.uint16, SYMBOLS)
             lo, hi = column(rows, "lo"), column(rows, "hi")
+            a, b = [], []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
-                for at in range(s, e, 256):  # a strip of the block at a time
-                    to = min(e, at + 256)
-                    far = comp[at:to, None] != comp[None, s:e]
-                    far &= rep[at:to, None] < rep[None, s:e]
-                    if lo[s] != hi[s]:
-                        far &= side[at:to, None] != side[None, s:e]
-                    i, j = np.nonzero(far)
-                    for k in range(0, len(i), 100_000):
-                        x, y = at + i[k : k + 100_000], s + j[k : k + 100_000]
-                        ok = (sig[x] != sig[y]).sum(axis=1) <= MAX_DISTANCE
-                        if ok.any():
-                            yield pa.record_batch([pa.array(rep[x[ok]]), pa.array(rep[y[ok]])], names=["a", "b"])
-
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(pair, "a long, b long").distinct()
+                i, j = _far_and_near(comp[s:e], sig[s:e], side[s:e] if lo[s] != hi[s] else None)
+                if not len(i):
+                    continue
+                held = [np.frombuffer(v, np.uint64) for v in rows["members"][s:e].to_pylist()]
+                i, j = _similar(held, i, j, percent)
+                root = _roots(e - s, i, j)
+                mine = np.flatnonzero(root != np.arange(e - s))
+                a.append(rep[s:e][root[mine]])
+                b.append(rep[s:e][mine])
+            if a:
+                yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    dealt = _in_blocks(members, "cluster", sizes, SET_BLOCK).select(*keys, "own", "rep", "component", "sig", "members")
+    return materialise(
+        dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
+    )
+
+
+def _similar(held: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs i - j, those whose sets have 100 * both >= percent * either."""
+    sizes = np.array([len(x) for x in held])
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    ok = 100 * small >= percent * large
+    i, j = i[ok], j[ok]
+    _, ids = np.unique(np.concatenate(held), return_inverse=True)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    flag = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
+    keep = np.zeros(len(i), bool)
+    order = np.argsort(i, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+        if not len(group):
+            continue
+        x = i[group[0]]
+        mine = ids[bounds[x] : bounds[x + 1]]
+        flag[mine] = 1
+        both = np.add.reduceat(flag[ids], bounds[:-1])[j[group]]
+        flag[mine] = 0
+        keep[group] = 100 * both >= percent * (sizes[x] + sizes[j[group]] - both)
+    return i[keep], j[keep]
 
 
 def near_texts(
@@ -325,8 +435,7 @@ def near_texts(
         )
     links = _confirmed(stars.distinct(), classes, texts, shingle_words, percent)
     component = materialise(connected_components(links))
-    rest = _across(shared, component, classes)
-    more = _confirmed(rest, classes, texts, shingle_words, percent)
+    more = _links_across(shared, component, classes, texts, shingle_words, percent)
     if not more.isEmpty():
         grown = component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
         component = materialise(connected_components(grown))
