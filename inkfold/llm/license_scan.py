@@ -124,7 +124,7 @@ def scan_licenses(
     for a in anchors:
         possible = possible | F.contains(F.col("__clean"), F.lit(a))
     table = F.array(
-        *[F.struct(F.lit(t.name).alias("name"), F.array(*map(F.lit, t.bigrams)).alias("bigrams"), F.lit(len(t.bigrams)).alias("n")) for t in made]
+        *[F.struct(F.lit(t.name).alias("name"), F.array(*map(F.lit, t.bigrams)).alias("bigrams"), F.lit(len(t.bigrams)).cast("long").alias("n")) for t in made]
     )
     # The threshold as a fraction of integers, so that a coefficient equal to it counts.
     per = round(threshold * 1_000_000)
@@ -132,14 +132,14 @@ def scan_licenses(
     def of_passage(p: Column) -> Column:
         def scored(b: Column) -> Column:
             fits = F.filter(
-                table, lambda t: (t["n"] * (2_000_000 - per) >= F.size(b) * per) & (F.size(b) * (2_000_000 - per) >= t["n"] * per)
+                table, lambda t: (t["n"] * (2_000_000 - per) >= F.size(b).cast("long") * per) & (F.size(b).cast("long") * (2_000_000 - per) >= t["n"] * per)
             )
             both = F.transform(
                 fits,
                 lambda t: F.struct(
                     t["name"].alias("license"),
                     F.size(F.array_intersect(b, t["bigrams"])).cast("long").alias("both"),
-                    (F.size(b) + t["n"]).cast("long").alias("sizes"),
+                    (F.size(b) + t["n"]).alias("sizes"),
                 ),
             )
             hit = F.filter(both, lambda x: x["both"] * 2_000_000 >= x["sizes"] * per)
