@@ -173,7 +173,7 @@ def _entries(classes: DataFrame) -> DataFrame:
 
 
 def _shared(entries: DataFrame, hot: list[int]) -> DataFrame:
-    """(entry, part, rep, centre): members of entries that have at least two in one part; hot ones have many parts."""
+    """(entry, part, rep, centre): members of entries that have at least two; hot entries are dealt in many parts."""
     parts = F.when(F.col("entry").isin(hot), F.pmod(F.xxhash64("rep"), F.lit(SAMPLE))) if hot else F.lit(0)
     dealt = entries.withColumn("part", F.coalesce(parts, F.lit(0)).cast("int"))
 
@@ -205,10 +205,19 @@ def _shared(entries: DataFrame, hot: list[int]) -> DataFrame:
             if len(cols[0]):
                 yield pa.record_batch([pa.array(c) for c in cols], names=["entry", "part", "rep", "centre"])
 
-    return (
-        dealt.repartition("entry", "part")
-        .sortWithinPartitions("entry", "part", "rep")
-        .mapInArrow(star, "entry long, part int, rep long, centre long")
+    def starred(rows: DataFrame) -> DataFrame:
+        return (
+            rows.repartition("entry", "part").sortWithinPartitions("entry", "part", "rep")
+            .mapInArrow(star, "entry long, part int, rep long, centre long")
+        )
+
+    if not hot:
+        return starred(dealt)
+    # A part of a hot entry may have one member, whose partners are in other parts: all of them stay.
+    many = dealt.where(F.col("entry").isin(hot))
+    centre = many.groupBy("entry", "part").agg(F.min("rep").alias("centre"))
+    return starred(dealt.where(~F.col("entry").isin(hot))).unionByName(
+        many.join(centre, ["entry", "part"]).select("entry", "part", "rep", "centre")
     )
 
 

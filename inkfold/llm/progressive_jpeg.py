@@ -32,7 +32,7 @@ UNIT = 576
 
 #: Natural index of each place in zigzag order: along the anti-diagonals, turning at each.
 ZIGZAG = np.array(
-    [r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[sum(x) % 2]))]
+    [r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[(sum(x) + 1) % 2]))]
 )
 _DCT = np.array(
     [[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)]
