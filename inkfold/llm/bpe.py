@@ -1,15 +1,15 @@
 """Byte-level BPE with Spark's higher-order functions.
 
 A text is cut by a pattern; each piece of it ("word") is encoded by itself. The merges are a fold: the state is
-the array of the word's byte strings and the ranks of its neighbouring pairs, and each step joins the
-leftmost pair of least rank and looks up the two ranks that change. Ranks come from a literal: an array of
-small maps, addressed by the CRC of the bytes, so that a lookup costs the same for any vocabulary.
-
-A byte string is held as a string of the characters 0 to 255 (ISO 8859-1), so that string functions act on bytes.
+the array of the word's ids, one for each byte at first, and the ranks of its neighbouring pairs; each step joins the
+leftmost pair of least rank and looks up the two ranks that change. The ranks are a literal: two arrays, of pairs of
+ids (every way to cut a token into two others) and of what they make, in which a pair has one of two places, so that
+a lookup costs the same for any vocabulary.
 
 The corpus's distinct words are counted, and the ``cache_words`` most frequent of those that aren't one token
 are folded once and become a literal as well, of bounded size; all other words are folded where they occur. The
-result doesn't depend on which words these are. Decoding looks up the bytes of each id and joins them.
+result doesn't depend on which words these are. Decoding looks up the bytes of each id and joins them; bytes are held
+as the characters 0 to 255 (ISO 8859-1), so that string functions act on them.
 
 Only word counts are shuffled; documents never are. A word of n bytes takes n steps over arrays of n, so a single
 run of 100,000 letters without a break costs seconds.
@@ -25,13 +25,15 @@ import json
 import zlib
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import materialise
 
 NO_RANK = 2**31 - 1
-BUCKETS = 1 << 14
+#: How many words are folded once for all; a literal of some tens of MB in each task.
+CACHE_WORDS = 400_000
 #: A cached word has at most so many bytes.
 CACHED_BYTES = 48
 #: White space as the reference implementation's regular expressions know it (Unicode's White_Space).
@@ -66,20 +68,69 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-def _bucket(key: Column) -> Column:
-    return (F.crc32(key.cast("binary")) % BUCKETS).cast("int") + 1
+def _murmur(keys: np.ndarray) -> np.ndarray:
+    """Spark's hash() of longs, as unsigned 32 bits."""
+    k, m = keys.astype(np.uint64), np.uint64(0xFFFFFFFF)
+
+    def turned(v: np.ndarray, by: int) -> np.ndarray:
+        return ((v << np.uint64(by)) | (v >> np.uint64(32 - by))) & m
+
+    h = np.full(len(k), 42, np.uint64)
+    for part in (k & m, k >> np.uint64(32)):
+        x = turned(part * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
+        h = (turned(h ^ x, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
+    h ^= np.uint64(8)
+    for by, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = ((h ^ (h >> np.uint64(by))) * np.uint64(times)) & m
+    return h ^ (h >> np.uint64(16))
+
+
+def _places(hashes: list[int]) -> tuple[list[int | None], int]:
+    """A table of which entry lies in each place, and the bits of its size: an entry with hash h lies at h or at
+    h >> 12, modulo the size."""
+    bits = max(4, (11 * len(hashes) // 5).bit_length())
+    while True:
+        mask = (1 << bits) - 1
+        table: list[int | None] = [None] * (mask + 1)
+        for entry in range(len(hashes)):
+            at = hashes[entry] & mask
+            for _ in range(200):
+                table[at], entry = entry, table[at]
+                if entry is None:
+                    break
+                one, two = hashes[entry] & mask, hashes[entry] >> 12 & mask
+                at = two if at == one else one
+            else:
+                break
+        else:
+            return table, bits
+        bits += 1
+
 
+class Table:
+    """A dictionary as two literals: get() finds a key at one of its two places."""
 
-def _literal(entries: dict[str, object], kind: str) -> Column:
-    """Optimised to one literal of type array<map<string, kind>>."""
-    maps: list[dict[str, object]] = [{} for _ in range(BUCKETS)]
-    for k, v in entries.items():
-        maps[zlib.crc32(k.encode("utf-8")) % BUCKETS][k] = v
-    return F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>")
+    def __init__(self, entries: dict, kind: str) -> None:
+        """From words to strings (kind string), or from longs to longs (kind long)."""
+        keys = list(entries)
+        hashes = [zlib.crc32(k.encode("utf-8")) for k in keys] if kind == "string" else _murmur(np.array(keys, np.int64)).tolist()
+        places, self.bits = _places(hashes)
+        self.kind = kind
+        # Optimised to literals.
+        self.keys = F.from_json(F.lit(json.dumps([None if p is None else keys[p] for p in places])), f"array<{kind}>")
+        self.values = F.from_json(F.lit(json.dumps([None if p is None else entries[keys[p]] for p in places])), f"array<{kind}>")
 
+    def bound(self, body) -> Column:
+        """body(the pair of literals), where they are named once."""
+        return _let(self.keys, lambda k: _let(self.values, lambda v: body((k, v))))
 
-def _get(table: Column, key: Column) -> Column:
-    return F.element_at(F.element_at(table, _bucket(key)), key)
+    def get(self, table: tuple[Column, Column], key: Column) -> Column:
+        """The value or null; table is what bound() passes."""
+        mask = F.lit((1 << self.bits) - 1)
+        h = F.crc32(key.cast("binary")) if self.kind == "string" else F.hash(key)
+        one = h.bitwiseAND(mask).cast("int")
+        two = F.shiftrightunsigned(h, 12).bitwiseAND(mask).cast("int")
+        return F.when(F.get(table[0], one) == key, F.get(table[1], one)).when(F.get(table[0], two) == key, F.get(table[1], two))
 
 
 def _let(value: Column, body) -> Column:
@@ -95,47 +146,41 @@ def byte_string(text: Column) -> Column:
     return F.decode(text.cast("binary"), "ISO-8859-1")
 
 
-def fold(word: Column, ranks: Column) -> Column:
-    """The ids of a word, joined by commas. ranks is the literal by byte string."""
-    state = "struct<p:array<string>,r:array<int>>"
+def fold(word: Column, pairs: Table, table: tuple[Column, Column], first: Column) -> Column:
+    """The ids of a word, joined by commas. table is pairs bound; first has the id of each byte."""
 
-    def rank(pair: Column) -> Column:
-        return F.coalesce(_get(ranks, pair), F.lit(NO_RANK))
+    def rank(a: Column, b: Column) -> Column:
+        return F.coalesce(pairs.get(table, a * F.lit(65_536).cast("long") + b), F.lit(NO_RANK).cast("long"))
 
-    def start(s: Column) -> Column:
-        n = F.length(s)
-        return F.struct(
-            F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, F.lit(1))).alias("p"),
-            F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(s, i, F.lit(2)))).alias("r"),
-        ).cast(state)
+    def start(p: Column) -> Column:
+        r = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1)))
+        return F.struct(p.alias("p"), r.alias("r"))
 
     def merge(acc: Column) -> Column:
-        def at(i: Column) -> Column:
-            def joined(new: Column) -> Column:
-                p, r = acc["p"], acc["r"]
-                n = F.size(p)
-                before = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.array(rank(F.concat(F.element_at(p, i - 1), new)))))
-                behind = F.when(i + 1 < n, F.concat(F.array(rank(F.concat(new, F.element_at(p, i + 2)))), F.slice(r, i + 2, n)))
-                none = F.array().cast("array<int>")
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, n)).alias("p"),
-                    F.concat(F.coalesce(before, none), F.coalesce(behind, none)).alias("r"),
-                ).cast(state)
+        p, r = acc["p"], acc["r"]
+        n = F.size(p)
 
-            return _let(F.concat(F.element_at(acc["p"], i), F.element_at(acc["p"], i + 1)), joined)
-
-        return _let(F.array_position(acc["r"], F.array_min(acc["r"])).cast("int"), at)
+        def at(i: Column) -> Column:
+            # A rank is the id of what the pair makes.
+            new = F.element_at(r, i)
+            none = F.array().cast("array<long>")
+            before = F.when(i > 1, F.array(rank(F.get(p, i - 2), new))).otherwise(none)
+            behind = F.when(i + 1 < n, F.array(rank(new, F.get(p, i + 1)))).otherwise(none)
+            # flatten() is far cheaper than concat(), which Spark doesn't compile within lambdas.
+            return F.struct(
+                F.flatten(F.array(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, n))).alias("p"),
+                F.flatten(F.array(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, behind, F.slice(r, i + 2, n))).alias("r"),
+            )
+
+        return _let(F.array_position(r, F.array_min(r)).cast("int"), at)
 
     def step(acc: Column, _: Column) -> Column:
-        return F.when(F.coalesce(F.array_min(acc["r"]), F.lit(NO_RANK)) < NO_RANK, merge(acc)).otherwise(acc)
+        return F.when(F.array_min(acc["r"]) < NO_RANK, merge(acc)).otherwise(acc)
 
-    def of(s: Column) -> Column:
-        many = F.aggregate(
-            F.sequence(F.lit(2), F.length(s)), start(s), step, lambda acc: F.array_join(F.transform(acc["p"], lambda x: _get(ranks, x).cast("string")), ",")
-        )
-        return F.when(F.length(s) == 1, _get(ranks, s).cast("string")).otherwise(many)
+    def of(p: Column) -> Column:
+        return F.aggregate(p, start(p), step, lambda acc: F.array_join(acc["p"].cast("array<string>"), ","))
 
-    return _let(byte_string(word), of)
+    return _let(F.transform(F.split(byte_string(word), ""), lambda c: F.get(first, F.ascii(c))), of)
 
 
 class ByteBpe:
@@ -146,7 +191,13 @@ class ByteBpe:
         if missing:
             raise ValueError(f"{len(missing)} single bytes have no rank")
         self.pattern = pattern
-        self.by_bytes = {k.decode("latin-1"): v for k, v in ranks.items()}
+        if max(ranks.values()) >= 65_536:
+            raise ValueError("ids of more than 16 bits aren't supported")
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        # Every way to cut a token into two tokens.
+        self.pairs = Table(
+            {ranks[k[:i]] * 65_536 + ranks[k[i:]]: v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}, "long"
+        )
         # What is a word by itself: a whole token.
         self.whole: dict[str, str] = {}
         for k, v in ranks.items():
@@ -158,33 +209,34 @@ class ByteBpe:
         for k, v in ranks.items():
             self.pieces[v] = k.decode("latin-1")
 
+    def _folded(self, body) -> Column:
+        """body(f), where f(word) is the word's ids joined by commas."""
+        first = F.from_json(F.lit(json.dumps(self.bytes)), "array<long>")
+        return self.pairs.bound(lambda table: _let(first, lambda b: body(lambda word: fold(word, self.pairs, table, b))))
+
     def frequent_words(self, df: DataFrame, text_col: str, most: int) -> dict[str, str]:
         """Ids, joined by commas, of the most frequent words that aren't one token."""
         if most <= 0:
             return {}
-        found = F.transform(
-            F.array(_literal(self.whole, "string")),
-            lambda t: F.filter(words(F.col(text_col), self.pattern), lambda w: _get(t, w).isNull()),
-        )
+        whole = Table(self.whole, "string")
+        found = whole.bound(lambda t: F.filter(words(F.col(text_col), self.pattern), lambda w: whole.get(t, w).isNull()))
         counted = (
-            df.select(F.explode(F.element_at(found, 1)).alias("word")).groupBy("word").count()
+            df.select(F.explode(found).alias("word")).groupBy("word").count()
             .where(F.octet_length("word") <= CACHED_BYTES).orderBy(F.desc("count"), "word").limit(most)
         )
-        kept = materialise(counted.select("word")).repartition(32)
-        ids = kept.select("word", _let(_literal(self.by_bytes, "int"), lambda r: fold(F.col("word"), r)).alias("ids"))
+        kept = materialise(counted.select("word")).repartition(16)
+        ids = kept.select("word", self._folded(lambda f: f(F.col("word"))).alias("ids"))
         return {r["word"]: r["ids"] for r in ids.collect()}
 
-    def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids", *, cache_words: int = 65_536) -> DataFrame:
+    def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids", *, cache_words: int = CACHE_WORDS) -> DataFrame:
         """df with the ids of each text, as a string joined by commas (see ids_of)."""
-        known = _literal(self.whole | self.frequent_words(df, text_col, cache_words), "string")
-        tables = F.array(F.struct(known.alias("known"), _literal(self.by_bytes, "int").alias("ranks")))
-        found = F.transform(
-            tables,
-            lambda t: F.array_join(
-                F.transform(words(F.col(text_col), self.pattern), lambda w: F.coalesce(_get(t["known"], w), fold(w, t["ranks"]))), ","
-            ),
-        )
-        return df.withColumn(out_col, F.element_at(found, 1))
+        known = Table(self.whole | self.frequent_words(df, text_col, cache_words), "string")
+
+        def of(f) -> Column:
+            ids = known.bound(lambda t: F.transform(words(F.col(text_col), self.pattern), lambda w: F.coalesce(known.get(t, w), f(w))))
+            return F.array_join(ids, ",")
+
+        return df.withColumn(out_col, self._folded(of))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids joined by commas."""
