@@ -394,8 +394,9 @@ def token_counts(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "line", F.size(T.tokens(F.col("s"))).cast("long").alias("n_tokens"))
 
 
-_CASE = f"""CASE WHEN letters > 0 AND up + length(x) - letters - {_n("x", " ")} > letters - up THEN upper(x)
-  WHEN letters > 0 THEN regexp_extract(x, '(?s)^([^{_SQL_LETTER[1:-1]}]*)', 1) || upper(regexp_extract(x, '(?s)^[^{_SQL_LETTER[1:-1]}]*({_SQL_LETTER})', 1))
+# Upper-cased, the sharp s is two letters; DuckDB keeps it.
+_CASE = f"""CASE WHEN letters > 0 AND up + length(x) - letters - {_n("x", " ")} > letters - up THEN upper(replace(x, 'ß', 'SS'))
+  WHEN letters > 0 THEN regexp_extract(x, '(?s)^([^{_SQL_LETTER[1:-1]}]*)', 1) || upper(replace(regexp_extract(x, '(?s)^[^{_SQL_LETTER[1:-1]}]*({_SQL_LETTER})', 1), 'ß', 'SS'))
     || lower(regexp_extract(x, '(?s)^[^{_SQL_LETTER[1:-1]}]*{_SQL_LETTER}(.*)$', 1)) ELSE x END"""
 
 
@@ -408,7 +409,7 @@ def case_paragraph(spark, sf_dir):
 
 
 @query(f"""{_LINES}, c AS (SELECT *, {_n("s", "[A-Z]")}::DOUBLE AS u, {_n("s", "[a-z]")}::DOUBLE AS l FROM lines)
-SELECT doc_id, line, CASE WHEN u + l < 3 THEN s WHEN u / (u + l) >= 0.9 THEN upper(s)
+SELECT doc_id, line, CASE WHEN u + l < 3 THEN s WHEN u / (u + l) >= 0.9 THEN upper(replace(s, 'ß', 'SS'))
   WHEN l / (u + l) >= 0.9 AND regexp_matches(s, '^[^A-Za-z]*[a-z]') THEN regexp_extract(s, '(?s)^([^A-Za-z]*)', 1) || upper(regexp_extract(s, '(?s)^[^A-Za-z]*([a-z])', 1))
     || regexp_extract(s, '(?s)^[^A-Za-z]*[a-z](.*)$', 1) ELSE s END AS cased FROM c""")
 def line_case(spark, sf_dir):
