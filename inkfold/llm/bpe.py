@@ -215,16 +215,26 @@ class ByteBpe:
         return self.pairs.bound(lambda table: _let(first, lambda b: body(lambda word: fold(word, self.pairs, table, b))))
 
     def frequent_words(self, df: DataFrame, text_col: str, most: int) -> dict[str, str]:
-        """Ids, joined by commas, of the most frequent words that aren't one token."""
+        """Ids, joined by commas, of the most frequent words that aren't one token: at most that many."""
         if most <= 0:
             return {}
         whole = Table(self.whole, "string")
         found = whole.bound(lambda t: F.filter(words(F.col(text_col), self.pattern), lambda w: whole.get(t, w).isNull()))
-        counted = (
+        counted = materialise(
             df.select(F.explode(found).alias("word")).groupBy("word").count()
-            .where(F.octet_length("word") <= CACHED_BYTES).orderBy(F.desc("count"), "word").limit(most)
+            .where((F.col("count") > 1) & (F.octet_length("word") <= CACHED_BYTES)).withColumn("level", F.floor(F.log2("count") * 16))
         )
-        kept = materialise(counted.select("word")).repartition(16)
+        # The lowest level of frequency from which on the words fit; no sort, and under a thousand rows to the driver.
+        levels = sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"])
+        total, least = 0, None
+        for r in levels:
+            total += r["count"]
+            if total > most:
+                break
+            least = r["level"]
+        if least is None:
+            return {}
+        kept = counted.where(F.col("level") >= least).select("word").repartition(16)
         ids = kept.select("word", self._folded(lambda f: f(F.col("word"))).alias("ids"))
         return {r["word"]: r["ids"] for r in ids.collect()}
 

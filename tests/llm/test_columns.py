@@ -41,6 +41,8 @@ def test_bpe_equals_the_library(spark, documents):
         for r in got.collect():
             want = known.encode_ordinary(TEXTS[r.doc_id] or "")
             assert r.array == want and r.n == len(want) and bytes(r.raw) == (TEXTS[r.doc_id] or "").encode()
+    words = spark.createDataFrame([("zqxj zqxj zqxj qqzz qqzz vvkk",)], "text string")
+    assert set(bpe.frequent_words(words, "text", 9)) == {" zqxj", " qqzz"} and set(bpe.frequent_words(words, "text", 1)) <= {" zqxj", " qqzz"}
     assert bpe.encode(documents.limit(0)).collect() == []
     with pytest.raises(ValueError, match="rank"):
         ByteBpe({b"a": 0}, ".")
