@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from inkfold.llm.common import materialise
 
 NO_RANK = 2**31 - 1
-#: How many words are folded once for all; a literal of some tens of MB in each task.
-CACHE_WORDS = 400_000
+#: How many words are folded once for all; a literal of a few MB in each task.
+CACHE_WORDS = 1 << 16
 #: A cached word has at most so many bytes.
 CACHED_BYTES = 48
 #: White space as the reference implementation's regular expressions know it (Unicode's White_Space).
