@@ -1,41 +1,44 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A text is cut by a pattern; each piece of it ("word") is encoded by itself. The merges are a fold: the state is
-the array of the word's ids, one for each byte at first, and the ranks of its neighbouring pairs; each step joins the
-leftmost pair of least rank and looks up the two ranks that change. The ranks are a literal: two arrays, of pairs of
-ids (every way to cut a token into two others) and of what they make, in which a pair has one of two places, so that
-a lookup costs the same for any vocabulary.
-
-The corpus's distinct words are counted, and the ``cache_words`` most frequent of those that aren't one token
-are folded once and become a literal as well, of bounded size; all other words are folded where they occur. The
-result doesn't depend on which words these are. Decoding looks up the bytes of each id and joins them; bytes are held
-as the characters 0 to 255 (ISO 8859-1), so that string functions act on them.
-
-Only word counts are shuffled; documents never are. A word of n bytes takes n steps over arrays of n, so a single
-run of 100,000 letters without a break costs seconds.
+A text is cut by a pattern; each piece of it ("word") is encoded by itself. The documents of a task are taken in chunks
+of about ``CHUNK_WORDS`` words. An Arrow step numbers the distinct words of a chunk, and what isn't one token by itself
+goes into a fold of higher-order functions, once for each chunk: the state is an array with the id of each piece (a
+byte at first) and the rank of the pair that it makes with the next one; each step joins the leftmost pair of least
+rank and looks up the two ranks that change. The ranks are a literal of two arrays in which the rows of the pairs'
+table are laid over each other, so that a lookup is two accesses for any vocabulary. The ids of a document are then
+put together from those of its words. Decoding looks up the bytes of each id and joins them; bytes are held as the
+characters 0 to 255 (ISO 8859-1), so that string functions act on them.
+
+Nothing is shuffled, collected or broadcast but the literals, and a chunk bounds what a task holds. A word of n bytes
+takes n steps over arrays of n, so a single run of 100,000 letters without a break costs seconds.
 
 Nulls: a null text is an empty one and has no ids. Rows are encoded one by one, so ties, repeated rows and
-other columns don't matter. An empty table gives an empty result.
+other columns don't matter; other columns must be of types that Arrow has. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import zlib
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from inkfold.llm.common import materialise
-
-NO_RANK = 2**31 - 1
-#: How many words are folded once for all; a literal of a few MB in each task.
-CACHE_WORDS = 1 << 16
-#: A cached word has at most so many bytes.
-CACHED_BYTES = 48
+from pyspark.sql import types as T
+
+#: A chunk ends with the document that brings it to so many words.
+CHUNK_WORDS = 1 << 21
+#: An entry of the fold's state is the piece's id, above it (from this bit on) the rank of its pair with the next one.
+_RANK = 16
+#: A pair without a rank has a bit from here on.
+_NONE = 33
+#: The bit that marks the last piece of a word.
+_LAST = 1 << 51
+_ID = (1 << _RANK) - 1
 #: White space as the reference implementation's regular expressions know it (Unicode's White_Space).
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -68,69 +71,46 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-def _murmur(keys: np.ndarray) -> np.ndarray:
-    """Spark's hash() of longs, as unsigned 32 bits."""
-    k, m = keys.astype(np.uint64), np.uint64(0xFFFFFFFF)
-
-    def turned(v: np.ndarray, by: int) -> np.ndarray:
-        return ((v << np.uint64(by)) | (v >> np.uint64(32 - by))) & m
-
-    h = np.full(len(k), 42, np.uint64)
-    for part in (k & m, k >> np.uint64(32)):
-        x = turned(part * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
-        h = (turned(h ^ x, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
-    h ^= np.uint64(8)
-    for by, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = ((h ^ (h >> np.uint64(by))) * np.uint64(times)) & m
-    return h ^ (h >> np.uint64(16))
-
-
-def _places(hashes: list[int]) -> tuple[list[int | None], int]:
-    """A table of which entry lies in each place, and the bits of its size: an entry with hash h lies at h or at
-    h >> 12, modulo the size."""
-    bits = max(4, (11 * len(hashes) // 5).bit_length())
-    while True:
-        mask = (1 << bits) - 1
-        table: list[int | None] = [None] * (mask + 1)
-        for entry in range(len(hashes)):
-            at = hashes[entry] & mask
-            for _ in range(200):
-                table[at], entry = entry, table[at]
-                if entry is None:
+class PairTable:
+    """Ranks of pairs of ids as two arrays.
+
+    The entry of pair (a, b) lies in ``entries`` at shift[a] + b and names a, as entries of other ids lie between those
+    of a: ``entries[shift[a] + b] ^ owner(a)`` is the pair's rank above the id a, or more than any rank.
+    """
+
+    #: owner(a) is a times this.
+    OWNER = (1 << _NONE) + 1
+
+    def __init__(self, ranks: dict[tuple[int, int], int], ids: int) -> None:
+        rows: dict[int, list[int]] = {}
+        for a, b in ranks:
+            rows.setdefault(a, []).append(b)
+        taken = np.zeros(2 * len(ranks) + 4 * ids + 8192, bool)
+        taken[:ids] = True  # shift[a] isn't negative
+        self.shift = np.zeros(ids, np.int64)
+        free = ids
+        for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            bs = np.array(sorted(row))
+            free += int(np.argmin(taken[free:]))
+            # The first place where all entries fit, looked for among 4,096 places at a time.
+            at, fits = free, ~taken[free : free + 4096]
+            while True:
+                for b in (bs[1:] - bs[0]).tolist():
+                    fits &= ~taken[at + b : at + b + 4096]
+                if fits.any():
+                    at += int(np.argmax(fits))
                     break
-                one, two = hashes[entry] & mask, hashes[entry] >> 12 & mask
-                at = two if at == one else one
-            else:
-                break
-        else:
-            return table, bits
-        bits += 1
+                at += 4096
+                fits = ~taken[at : at + 4096]
+            taken[at - bs[0] + bs] = True
+            self.shift[a] = at - bs[0]
+        size = int(self.shift.max()) + ids
+        self.entries = np.full(size, ids << _NONE, np.int64)
+        for (a, b), rank in ranks.items():
+            self.entries[self.shift[a] + b] = (a << _NONE) + (rank << _RANK)
 
-
-class Table:
-    """A dictionary as two literals: get() finds a key at one of its two places."""
-
-    def __init__(self, entries: dict, kind: str) -> None:
-        """From words to strings (kind string), or from longs to longs (kind long)."""
-        keys = list(entries)
-        hashes = [zlib.crc32(k.encode("utf-8")) for k in keys] if kind == "string" else _murmur(np.array(keys, np.int64)).tolist()
-        places, self.bits = _places(hashes)
-        self.kind = kind
-        # Optimised to literals.
-        self.keys = F.from_json(F.lit(json.dumps([None if p is None else keys[p] for p in places])), f"array<{kind}>")
-        self.values = F.from_json(F.lit(json.dumps([None if p is None else entries[keys[p]] for p in places])), f"array<{kind}>")
-
-    def bound(self, body) -> Column:
-        """body(the pair of literals), where they are named once."""
-        return _let(self.keys, lambda k: _let(self.values, lambda v: body((k, v))))
-
-    def get(self, table: tuple[Column, Column], key: Column) -> Column:
-        """The value or null; table is what bound() passes."""
-        mask = F.lit((1 << self.bits) - 1)
-        h = F.crc32(key.cast("binary")) if self.kind == "string" else F.hash(key)
-        one = h.bitwiseAND(mask).cast("int")
-        two = F.shiftrightunsigned(h, 12).bitwiseAND(mask).cast("int")
-        return F.when(F.get(table[0], one) == key, F.get(table[1], one)).when(F.get(table[0], two) == key, F.get(table[1], two))
+    def state(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.entries[self.shift[a] + b] ^ a * self.OWNER
 
 
 def _let(value: Column, body) -> Column:
@@ -142,45 +122,27 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(java_pattern(pattern)), 0)
 
 
-def byte_string(text: Column) -> Column:
-    return F.decode(text.cast("binary"), "ISO-8859-1")
-
+def fold(start: Column, entries: Column, shift: Column) -> Column:
+    """The ids of a word, joined by commas, from its first state."""
 
-def fold(word: Column, pairs: Table, table: tuple[Column, Column], first: Column) -> Column:
-    """The ids of a word, joined by commas. table is pairs bound; first has the id of each byte."""
-
-    def rank(a: Column, b: Column) -> Column:
-        return F.coalesce(pairs.get(table, a * F.lit(65_536).cast("long") + b), F.lit(NO_RANK).cast("long"))
-
-    def start(p: Column) -> Column:
-        r = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1)))
-        return F.struct(p.alias("p"), r.alias("r"))
-
-    def merge(acc: Column) -> Column:
-        p, r = acc["p"], acc["r"]
-        n = F.size(p)
+    def state(a: Column, b: Column) -> Column:
+        return F.get(entries, F.get(shift, a) + b).bitwiseXOR(a * F.lit(PairTable.OWNER))
 
+    def merge(q: Column) -> Column:
         def at(i: Column) -> Column:
-            # A rank is the id of what the pair makes.
-            new = F.element_at(r, i)
-            none = F.array().cast("array<long>")
-            before = F.when(i > 1, F.array(rank(F.get(p, i - 2), new))).otherwise(none)
-            behind = F.when(i + 1 < n, F.array(rank(new, F.get(p, i + 1)))).otherwise(none)
+            new = F.shiftright(F.element_at(q, i), _RANK)
+            this = F.when(i + 1 < F.size(q), state(new, F.get(q, i + 1).bitwiseAND(_ID))).otherwise(new + F.lit(_LAST))
+            both = F.when(i > 1, F.array(state(F.get(q, i - 2).bitwiseAND(_ID), new), this)).otherwise(F.array(this))
             # flatten() is far cheaper than concat(), which Spark doesn't compile within lambdas.
-            return F.struct(
-                F.flatten(F.array(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, n))).alias("p"),
-                F.flatten(F.array(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, behind, F.slice(r, i + 2, n))).alias("r"),
-            )
+            return F.flatten(F.array(F.slice(q, F.lit(1), F.greatest(i - 2, F.lit(0))), both, F.slice(q, i + 2, F.size(q))))
 
-        return _let(F.array_position(r, F.array_min(r)).cast("int"), at)
+        return _let(F.array_position(q, F.array_min(q)).cast("int"), at)
 
-    def step(acc: Column, _: Column) -> Column:
-        return F.when(F.array_min(acc["r"]) < NO_RANK, merge(acc)).otherwise(acc)
+    def step(q: Column, _: Column) -> Column:
+        return F.when(F.array_min(q) < F.lit(1 << _NONE), merge(q)).otherwise(q)
 
-    def of(p: Column) -> Column:
-        return F.aggregate(p, start(p), step, lambda acc: F.array_join(acc["p"].cast("array<string>"), ","))
-
-    return _let(F.transform(F.split(byte_string(word), ""), lambda c: F.get(first, F.ascii(c))), of)
+    ids = F.aggregate(start, start, step)
+    return F.array_join(F.transform(ids, lambda x: x.bitwiseAND(_ID).cast("string")), ",")
 
 
 class ByteBpe:
@@ -193,11 +155,10 @@ class ByteBpe:
         self.pattern = pattern
         if max(ranks.values()) >= 65_536:
             raise ValueError("ids of more than 16 bits aren't supported")
-        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)])
         # Every way to cut a token into two tokens.
-        self.pairs = Table(
-            {ranks[k[:i]] * 65_536 + ranks[k[i:]]: v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}, "long"
-        )
+        cuts = {(ranks[k[:i]], ranks[k[i:]]): v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
+        self.pairs = PairTable(cuts, max(ranks.values()) + 1)
         # What is a word by itself: a whole token.
         self.whole: dict[str, str] = {}
         for k, v in ranks.items():
@@ -209,44 +170,29 @@ class ByteBpe:
         for k, v in ranks.items():
             self.pieces[v] = k.decode("latin-1")
 
-    def _folded(self, body) -> Column:
-        """body(f), where f(word) is the word's ids joined by commas."""
-        first = F.from_json(F.lit(json.dumps(self.bytes)), "array<long>")
-        return self.pairs.bound(lambda table: _let(first, lambda b: body(lambda word: fold(word, self.pairs, table, b))))
-
-    def frequent_words(self, df: DataFrame, text_col: str, most: int) -> dict[str, str]:
-        """Ids, joined by commas, of the most frequent words that aren't one token: at most that many."""
-        if most <= 0:
-            return {}
-        whole = Table(self.whole, "string")
-        found = whole.bound(lambda t: F.filter(words(F.col(text_col), self.pattern), lambda w: whole.get(t, w).isNull()))
-        counted = materialise(
-            df.select(F.explode(found).alias("word")).groupBy("word").count()
-            .where((F.col("count") > 1) & (F.octet_length("word") <= CACHED_BYTES)).withColumn("level", F.floor(F.log2("count") * 16))
-        )
-        # The lowest level of frequency from which on the words fit; no sort, and under a thousand rows to the driver.
-        levels = sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"])
-        total, least = 0, None
-        for r in levels:
-            total += r["count"]
-            if total > most:
-                break
-            least = r["level"]
-        if least is None:
-            return {}
-        kept = counted.where(F.col("level") >= least).select("word").repartition(16)
-        ids = kept.select("word", self._folded(lambda f: f(F.col("word"))).alias("ids"))
-        return {r["word"]: r["ids"] for r in ids.collect()}
-
-    def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids", *, cache_words: int = CACHE_WORDS) -> DataFrame:
-        """df with the ids of each text, as a string joined by commas (see ids_of)."""
-        known = Table(self.whole | self.frequent_words(df, text_col, cache_words), "string")
-
-        def of(f) -> Column:
-            ids = known.bound(lambda t: F.transform(words(F.col(text_col), self.pattern), lambda w: F.coalesce(known.get(t, w), f(w))))
-            return F.array_join(ids, ",")
-
-        return df.withColumn(out_col, self._folded(of))
+    def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids", *, drop: tuple[str, ...] = (), chunk_words: int = CHUNK_WORDS) -> DataFrame:
+        """df with the ids of each text, as a string joined by commas (see ids_of), and without the columns of drop."""
+        kept = [c for c in df.columns if c not in (out_col, *drop)]
+        row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+        cut = df.select(row.alias("row"), words(F.col(text_col), self.pattern).alias("words"))
+        schema = T.StructType([
+            T.StructField("rows", T.ArrayType(cut.schema["row"].dataType)),
+            T.StructField("at", T.ArrayType(T.ArrayType(T.IntegerType()))),
+            T.StructField("known", T.ArrayType(T.StringType())),
+            T.StructField("start", T.ArrayType(T.ArrayType(T.LongType()))),
+        ])
+        numbered = cut.mapInArrow(_numbering(self.whole, self.bytes, self.pairs, chunk_words), schema)
+
+        def documents(entries: Column, shift: Column) -> Column:
+            ids = F.flatten(F.array(F.col("known"), F.transform("start", lambda q: fold(q, entries, shift))))
+            return _let(ids, lambda s: F.zip_with(
+                "rows", "at", lambda r, d: F.struct(r.alias("row"), F.array_join(F.transform(d, lambda i: F.get(s, i)), ",").alias("ids"))
+            ))
+
+        # Optimised to literals, which are named once.
+        entries, shift = (F.from_json(F.lit(json.dumps(x.tolist())), "array<long>") for x in (self.pairs.entries, self.pairs.shift))
+        done = numbered.select(F.explode(_let(entries, lambda e: _let(shift, lambda s: documents(e, s)))).alias("d"))
+        return done.select(*[F.col("d")["row"][c].alias(c) for c in kept], F.col("d")["ids"].alias(out_col))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids joined by commas."""
@@ -257,6 +203,52 @@ class ByteBpe:
         return F.encode(F.element_at(joined, 1), "ISO-8859-1")
 
 
+def _numbering(whole: dict[str, str], first: np.ndarray, pairs: PairTable, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow step from rows and their words to chunks: rows, the number of each word, and by these numbers the ids
+    of words that are tokens and then the first states of the others."""
+
+    def chunk(parts: list[pa.RecordBatch], tokens: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        rows, lists = (table.column(c).chunk(0) for c in ("row", "words"))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        token = pc.index_in(distinct, value_set=tokens)
+        missed = token.is_null().to_numpy(zero_copy_only=False)
+        number = np.where(missed, np.cumsum(missed) - 1 + np.count_nonzero(~missed), np.cumsum(~missed) - 1).astype(np.int32)
+        other = pc.cast(distinct.filter(pa.array(missed)), pa.large_binary())
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(other).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        piece = first[np.frombuffer(b"".join(other.to_pylist()), np.uint8)]
+        states = piece + _LAST
+        if len(piece):
+            inner = np.ones(len(piece), bool)
+            inner[ends[1:] - 1] = False
+            at = np.flatnonzero(inner)
+            states[at] = pairs.state(piece[at], piece[at + 1])
+        at = number[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        cells = [rows, pa.ListArray.from_arrays(lengths, pa.array(at)), ids.take(token.drop_null()), pa.ListArray.from_arrays(ends, pa.array(states))]
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cells], ["rows", "at", "known", "start"]
+        )
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ids = pa.array(list(whole), pa.string()), pa.array(list(whole.values()), pa.string())
+        parts, held = [], 0
+        for batch in batches:
+            begin = 0
+            for i, n in enumerate(pc.list_value_length(batch.column("words")).to_pylist()):
+                held += n
+                if held >= most:
+                    yield chunk([*parts, batch.slice(begin, i + 1 - begin)], tokens, ids)
+                    parts, held, begin = [], 0, i + 1
+            if begin < batch.num_rows:
+                parts.append(batch.slice(begin))
+        if parts:
+            yield chunk(parts, tokens, ids)
+
+    return chunks
+
+
 def ids_of(joined: Column) -> Column:
     """array<int> of ids joined by commas."""
     return F.when(joined == "", F.array().cast("array<int>")).otherwise(F.split(joined, ",").cast("array<int>"))

@@ -57,7 +57,7 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(documents: DataFrame) -> DataFrame:
     bpe = ByteBpe(load_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
-    ids = bpe.encode(documents.select("doc_id", "text"), "text", "ids")
+    ids = bpe.encode(documents.select("doc_id", "text"), "text", "ids", drop=("text",))
     return ids.select(
         "doc_id",
         n_ids(F.col("ids")).alias("n_tokens"),

@@ -36,14 +36,19 @@ def test_bpe_equals_the_library(spark, documents):
     ranks = load_ranks(public_tokenizers.path(Q.VOCABULARY))
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     bpe = ByteBpe(ranks, public_tokenizers.PATTERN)
-    for cache in (0, 5, 1000):
-        got = bpe.encode(documents, cache_words=cache).select("doc_id", ids_of(F.col("ids")).alias("array"), n_ids(F.col("ids")).alias("n"), bpe.decode(F.col("ids")).alias("raw"))
+    for most in (1, 5, 1000):
+        got = bpe.encode(documents, chunk_words=most).select("doc_id", ids_of(F.col("ids")).alias("array"), n_ids(F.col("ids")).alias("n"), bpe.decode(F.col("ids")).alias("raw"))
         for r in got.collect():
             want = known.encode_ordinary(TEXTS[r.doc_id] or "")
             assert r.array == want and r.n == len(want) and bytes(r.raw) == (TEXTS[r.doc_id] or "").encode()
-    words = spark.createDataFrame([("zqxj zqxj zqxj qqzz qqzz vvkk",)], "text string")
-    assert set(bpe.frequent_words(words, "text", 9)) == {" zqxj", " qqzz"} and set(bpe.frequent_words(words, "text", 1)) <= {" zqxj", " qqzz"}
     assert bpe.encode(documents.limit(0)).collect() == []
+    assert bpe.encode(documents, drop=("text",)).columns == ["doc_id", "ids"]
+    two = np.array([(a, b) for a in range(0, 50_000, 997) for b in range(0, 50_000, 61)])
+    made = {ranks[k[:i]] * 65_536 + ranks[k[i:]]: v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
+    two = np.concatenate([two, [divmod(k, 65_536) for k in made]])
+    states = bpe.pairs.state(two[:, 0], two[:, 1])
+    want = np.array([made.get(a * 65_536 + b, -1) for a, b in two.tolist()])
+    assert (states & 65_535 == two[:, 0]).all() and (np.where(states < 1 << 33, states >> 16, -1) == want).all()
     with pytest.raises(ValueError, match="rank"):
         ByteBpe({b"a": 0}, ".")
     with pytest.raises(ValueError, match="brackets"):
