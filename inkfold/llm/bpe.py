@@ -131,9 +131,10 @@ def fold(start: Column, entries: Column, shift: Column) -> Column:
         def at(i: Column) -> Column:
             new = F.shiftright(F.element_at(q, i), _RANK)
             this = F.when(i + 1 < F.size(q), state(new, F.get(q, i + 1).bitwiseAND(_ID))).otherwise(new + F.lit(_LAST))
-            both = F.when(i > 1, F.array(state(F.get(q, i - 2).bitwiseAND(_ID), new), this)).otherwise(F.array(this))
+            tail = F.slice(q, i + 2, F.lit(1 << 30))
             # flatten() is far cheaper than concat(), which Spark doesn't compile within lambdas.
-            return F.flatten(F.array(F.slice(q, F.lit(1), F.greatest(i - 2, F.lit(0))), both, F.slice(q, i + 2, F.size(q))))
+            inner = F.flatten(F.array(F.slice(q, F.lit(1), i - 2), F.array(state(F.get(q, i - 2).bitwiseAND(_ID), new), this), tail))
+            return F.when(i > 1, inner).otherwise(F.flatten(F.array(F.array(this), tail)))
 
         return _let(F.array_position(q, F.array_min(q)).cast("int"), at)
 
