@@ -2,7 +2,10 @@
 
 A text is cut into passages: its paragraphs (between blank lines), lines and sentences. A passage is normalised
 (A-Z lower-cased, all but a-z and 0-9 becomes a space) and its set of word bigrams is compared with
-each template's: ``2 * both / (passage + template)``. A template is a candidate only if its size is within
+each template's: ``2 * both / (passage + template)``. Windows over two or more consecutive pieces (the text cut at
+newlines and sentence ends; comment marks are no words) are compared too, for notices that are wrapped. They have at
+most ``(2 - t) / t`` times the words of the longest template that the text holds an anchor of. Of overlapping windows the closest counts, and a window is left out
+where a passage in it or around it is as close. A template is a candidate only if its size is within
 the bounds that the threshold allows: a passage of n bigrams can reach t only with templates of
 ``t / (2 - t) * n`` to ``(2 - t) / t * n`` bigrams.
 
@@ -61,6 +64,25 @@ TEMPLATES: dict[str, str] = {
 }
 
 
+def _gnu(what: str, name: str, version: str) -> str:
+    return (
+        f"{what}; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free "
+        f"Software Foundation; either version {version} of the License, or (at your option) any later version."
+    )
+
+
+# Further notices, which the SQL below doesn't have.
+NOTICES: dict[str, str] = {
+    "GPL-3.0-or-later": _gnu("This program is free software", "General Public License", "3"),
+    "LGPL-2.1-or-later": _gnu("This library is free software", "Lesser General Public License", "2.1"),
+    "LGPL-3.0-or-later": _gnu("This library is free software", "Lesser General Public License", "3"),
+    "AGPL-3.0-or-later": _gnu("This program is free software", "Affero General Public License", "3"),
+}
+
+# Notices that differ in a name or a version only; of these the closest to a passage counts.
+ALIKE = {"GPL-2.0-or-later", *NOTICES}
+
+
 def normalised(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
 
@@ -92,9 +114,18 @@ def _clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def _marked(text: Column) -> Column:
+    return F.regexp_replace(text, "([.!?])[ \t]+", "$1\n")
+
+
+def _pieces(text: Column) -> Column:
+    """What lies between newlines and sentence ends, normalised, of at least one word."""
+    return F.filter(F.transform(F.split(_marked(text), "\n"), _clean), lambda p: p != "")
+
+
 def passages(text: Column) -> Column:
     """Distinct paragraphs, lines and sentences, normalised, of at least two words."""
-    marked = F.regexp_replace(text, "([.!?])[ \t]+", "$1\n")
+    marked = _marked(text)
     cut = F.concat(F.split(text, "\n[ \t\r]*\n"), F.split(text, "\n"), F.split(marked, "\n"))
     return F.array_distinct(F.filter(F.transform(cut, _clean), lambda p: F.contains(p, F.lit(" "))))
 
@@ -108,9 +139,9 @@ def word_bigrams(clean: Column) -> Column:
 
 
 def scan_licenses(
-    df: DataFrame, text_col: str = "text", *, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8
+    df: DataFrame, text_col: str = "text", *, templates: dict[str, str] = TEMPLATES | NOTICES, threshold: float = 0.8
 ) -> DataFrame:
-    """df with license_hits: array of (license, permille int, passage string) for each passage and each template
+    """df with license_hits: array of (license, permille int, passage string) for each passage or window and each template
     whose Dice coefficient reaches the threshold, sorted. permille is 1000 times the coefficient, rounded down."""
     made = [Template.of(n, t) for n, t in templates.items()]
     common: dict[str, int] = {}
@@ -120,11 +151,16 @@ def scan_licenses(
     anchors = sorted({a for t in made for a in t.anchors(threshold, common)})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     clean = _clean(text)
-    possible = F.lit(False)
-    for a in anchors:
-        possible = possible | F.contains(F.col("__clean"), F.lit(a))
+
+    def anchored(words: Column, some: list[str] = anchors) -> Column:
+        found = F.lit(False)
+        for a in some:
+            found = found | F.contains(words, F.lit(a))
+        return found
+
+    possible = anchored(F.col("__clean"))
     table = F.array(
-        *[F.struct(F.lit(t.name).alias("name"), F.array(*map(F.lit, t.bigrams)).alias("bigrams"), F.lit(len(t.bigrams)).cast("long").alias("n")) for t in made]
+        *[F.struct(F.lit(t.name).alias("name"), F.lit("alike" if t.name in ALIKE else t.name).alias("kind"), F.array(*map(F.lit, t.bigrams)).alias("bigrams"), F.lit(len(t.bigrams)).cast("long").alias("n")) for t in made]
     )
     # The threshold as a fraction of integers, so that a coefficient equal to it counts.
     per = round(threshold * 1_000_000)
@@ -138,25 +174,95 @@ def scan_licenses(
                 fits,
                 lambda t: F.struct(
                     t["name"].alias("license"),
+                    t["kind"].alias("kind"),
                     F.size(F.array_intersect(b, t["bigrams"])).cast("long").alias("both"),
                     (F.size(b) + t["n"]).alias("sizes"),
                 ),
             )
             hit = F.filter(both, lambda x: x["both"] * 2_000_000 >= x["sizes"] * per)
+            closest = F.transform(
+                F.array(hit),
+                lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: (y["kind"] == x["kind"]) & (y["both"] * x["sizes"] > x["both"] * y["sizes"]))),
+            )
             return F.transform(
-                hit,
-                lambda x: F.struct(x["license"].alias("license"), F.floor(x["both"] * 2000 / x["sizes"]).cast("int").alias("permille"), p.alias("passage")),
+                F.flatten(closest),
+                lambda x: F.struct(
+                    x["license"].alias("license"), F.floor(x["both"] * 2000 / x["sizes"]).cast("int").alias("permille"), p.alias("passage"), x["kind"].alias("kind")
+                ),
             )
 
         return F.flatten(F.transform(F.array(word_bigrams(p)), scored))
 
+    limits = [
+        F.when(anchored(F.col("__clean"), t.anchors(threshold, common)), math.floor(len(normalised(templates[t.name])) * (2_000_000 - per) / per + 1e-9)).otherwise(0)
+        for t in made
+    ]
+
+    def of_windows(pieces: Column, most: Column) -> Column:
+        """(less int, words int, start int, end int, hit) for each window that reaches the threshold."""
+
+        def from_start(i: Column) -> Column:
+            def of_run(run: Column) -> Column:
+                def longer(acc: Column, p: Column) -> Column:
+                    n = acc["words"] + F.size(F.split(p, " "))
+                    return F.struct(n.alias("words"), (acc["fit"] + (n <= most).cast("int")).alias("fit"))
+
+                fit = F.aggregate(run, F.struct(F.lit(0).alias("words"), F.lit(0).alias("fit")), longer, lambda acc: acc["fit"])
+                near = anchored(F.call_function("substring_index", F.array_join(run, " "), F.lit(" "), most))
+                ends = F.when(near, F.filter(F.transform(F.array(fit), lambda n: F.when(n >= 2, F.sequence(F.lit(2), n))), lambda e: e.isNotNull()))
+                return F.flatten(F.transform(F.flatten(F.coalesce(ends, F.array().cast("array<array<int>>"))), lambda k: of_window(run, k)))
+
+            def of_window(run: Column, k: Column) -> Column:
+                hits = F.flatten(F.transform(F.array(F.array_join(F.slice(run, F.lit(1), k), " ")), of_passage))
+                return F.transform(
+                    hits,
+                    lambda h: F.struct(
+                        (-h["permille"]).alias("less"), F.size(F.split(h["passage"], " ")).alias("words"), i.alias("start"), (i + k - 1).alias("end"), h.alias("hit")
+                    ),
+                )
+
+            return F.flatten(F.transform(F.array(F.slice(pieces, i, most)), of_run))
+
+        starts = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1))
+        return F.flatten(F.transform(starts, from_start))
+
+    kind = "struct<license:string,permille:int,passage:string,kind:string>"
+    no_windows = F.array().cast(f"array<struct<less:int,words:int,start:int,end:int,hit:{kind}>>")
+
+    def apart(taken: Column, w: Column) -> Column:
+        # Alike notices that tie in one window are all taken.
+        clash = F.exists(
+            taken,
+            lambda x: (x["hit"]["kind"] == w["hit"]["kind"]) & (x["start"] <= w["end"]) & (w["start"] <= x["end"]) & (x["hit"]["passage"] != w["hit"]["passage"]),
+        )
+        return F.when(clash, taken).otherwise(F.concat(taken, F.array(w)))
+
+    def within(a: Column, b: Column) -> Column:
+        return F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
+
+    def with_windows(plain: Column) -> Column:
+        bound = F.array(F.struct(_pieces(text).alias("pieces"), F.array_max(F.array(*limits)).alias("most")))
+        windows = F.coalesce(F.flatten(F.transform(bound, lambda x: of_windows(x["pieces"], x["most"]))), no_windows)
+        wide = F.transform(F.aggregate(F.array_sort(windows), no_windows, apart), lambda w: w["hit"])
+        new = F.filter(
+            wide,
+            lambda h: ~F.exists(
+                plain,
+                lambda p: (p["kind"] == h["kind"]) & (p["permille"] >= h["permille"]) & (within(p["passage"], h["passage"]) | within(h["passage"], p["passage"])),
+            ),
+        )
+        return F.array_distinct(F.concat(plain, new))
+
+    found = F.flatten(F.transform(F.array(F.flatten(F.transform(passages(text), of_passage))), with_windows))
+    bare = F.transform(found, lambda h: F.struct(h["license"].alias("license"), h["permille"].alias("permille"), h["passage"].alias("passage")))
     none = F.array().cast("array<struct<license:string,permille:int,passage:string>>")
-    hits = F.when(possible, F.sort_array(F.flatten(F.transform(passages(text), of_passage)))).otherwise(none)
+    hits = F.when(possible, F.sort_array(bare)).otherwise(none)
     return df.withColumn("__clean", clean).withColumn("license_hits", hits).drop("__clean")
 
 
 def oracle(table: str, threshold_millionths: int = 800_000) -> str:
-    """The same over a table with doc_id and text, in DuckDB's SQL, without the pruning: see queries.py."""
+    """The same over a table with doc_id and text, in DuckDB's SQL, without the pruning, the windows and NOTICES: equal where
+    no notice is wrapped or one of NOTICES. See queries.py."""
     rows = ", ".join("('" + n + "', [" + ", ".join("'" + b + "'" for b in Template.of(n, t).bigrams) + "])" for n, t in TEMPLATES.items())
     return f"""
 WITH templates(license, tb) AS (VALUES {rows}),

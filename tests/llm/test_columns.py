@@ -165,6 +165,28 @@ def test_licences(spark):
     assert LS.scan_licenses(df.limit(0)).collect() == []
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    def commented(name, mark="# "):
+        body = "\n".join(mark + line for line in textwrap.wrap((LS.TEMPLATES | LS.NOTICES)[name], 60))
+        return f"{mark}Copyright 2020 Some Body\n{mark.strip()}\n{body}\n{mark.strip()}\n{mark}The rest of this long header is about something else " + " ".join(f"w{i}" for i in range(90))
+
+    short = "This work is licensed under the GNU General\nPublic License, version 3."
+    texts = [
+        f"A first sentence of prose stands here. {short} And a last one, longer than the notice is, follows it at once.", commented("MIT-permission"),
+        *[commented(n, "// ") for n in ("GPL-2.0-or-later", *LS.NOTICES)], f"{short} Prose in between, so that they are apart, goes on for a while.\nReleased under\nthe MIT License.",
+        "No notice\nis in here, all\nrights aside.", "word\n" * 1000 + "All rights\nreserved\n" + "word\n" * 1000,
+    ]
+    wanted = [
+        [("GPL-3.0", 1000)], [("MIT-permission", 1000)], *[[(n, 1000)] for n in ("GPL-2.0-or-later", *LS.NOTICES)], [("GPL-3.0", 1000), ("MIT", 1000)], [], [("All-rights-reserved", 1000)],
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [(h.license, h.permille) for h in r.license_hits] for r in LS.scan_licenses(df).collect()}
+    assert got == dict(enumerate(wanted))
+    assert not any(brute_licences(t) for t in texts)
+
+
 # ------------------------------------------------------------------ 6
 
 
