@@ -13,8 +13,8 @@ from inkfold.llm.mixing import mix
 from inkfold.llm.quality import good_documents
 from inkfold.llm.queries import bpe_digests
 
-#: No source's documents are used more than this many times as often as another's.
-MAX_EPOCHS = 1.25
+#: No source's documents are used more than this many times as often as another's: the limit of op10.
+MAX_EPOCHS = 4.0
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

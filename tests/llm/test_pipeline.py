@@ -5,6 +5,7 @@ import public_tokenizers
 import tiktoken
 
 from inkfold.llm.bpe import load_ranks
+from inkfold.llm.mixing import mix
 from inkfold.llm.queries import VOCABULARY
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +59,9 @@ def test_stages_against_brute_force(spark, tmp_path):
         ids = known.encode_ordinary(text[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_mixing_has_the_limit_of_op10(spark):
+    rows = [(i, "large", "a b c d " * 10) for i in range(190)] + [(1000 + i, f"s{i % 19}", "a b c d " * 10) for i in range(380)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert corpus_pipeline.mixing(spark, docs, SF).count() == mix(docs).count() > mix(docs, max_epochs=1.25).count()
