@@ -43,6 +43,8 @@ class Engine:
     more than max_templates."""
 
     def __init__(self, templates: DataFrame, config: Config = BALANCED, dictionary: DataFrame | None = None, max_templates: int = 5_000) -> None:
+        if config.apply_dictionary_correction and dictionary is None:
+            raise ValueError("the configuration asks for dictionary correction, so give a dictionary(idx, word)")
         self.config, self.dictionary = config, dictionary
         rows = [r.asDict(recursive=True) for r in templates.orderBy("def_idx").limit(max_templates + 1).collect()]
         if len(rows) > max_templates:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkfold.config import ACCURATE, ROBUST
 from inkfold.operators import evaluate
 from inkfold.plans.engine import Engine
 from inkfold.sources import grids as S
@@ -66,3 +67,9 @@ def test_empty_grid(spark, engine):
     one = spark.createDataFrame([("e", (1, 1, bytearray(b"\0")))], "image_id string, grid struct<cols:int,rows:int,bits:binary>")
     assert engine.read_text(one).first().text == ""
     assert np.zeros((1, 1)).sum() == 0
+
+
+@pytest.mark.parametrize("config", [ACCURATE, ROBUST])
+def test_a_preset_with_a_dictionary_needs_one(config):
+    with pytest.raises(ValueError, match="dictionary"):
+        Engine(None, config)
