@@ -1,45 +1,56 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A text is cut by a pattern; each piece of it ("word") is encoded by itself. The documents of a task are taken in chunks
-of about ``CHUNK_WORDS`` words. An Arrow step numbers the distinct words of a chunk, and what isn't one token by itself
-goes into a fold of higher-order functions, once for each chunk: the state is an array with the id of each piece (a
-byte at first) and the rank of the pair that it makes with the next one; each step joins the leftmost pair of least
-rank and looks up the two ranks that change. The ranks are a literal of two arrays in which the rows of the pairs'
-table are laid over each other, so that a lookup is two accesses for any vocabulary. The ids of a document are then
-put together from those of its words. Decoding looks up the bytes of each id and joins them in an Arrow step.
-
-Nothing is shuffled, collected or broadcast but the literals, and a chunk bounds what a task holds. A word of n bytes
-takes n steps over arrays of n, so a single run of 100,000 letters without a break costs seconds.
-
-Nulls: a null text is an empty one and has no ids. Rows are encoded one by one, so ties, repeated rows and
-other columns don't matter; other columns must be of types that Arrow has. An empty table gives an empty result.
+A text is cut by a pattern; each piece of it ("word") is encoded by itself. Within a task, rows go through three steps
+that are one stage, so nothing is shuffled, collected or written between them:
+
+1. an Arrow step cuts the texts and numbers words: a word that is one token has its id, every other one its place
+   among the words that the task has met, and goes out as a small row of its own when it is met first;
+2. a fold of higher-order functions encodes each such word: the state is an array with the id of each piece (a byte at
+   first) and the rank of the pair that it makes with the next one; each step joins the leftmost pair of least rank and
+   looks up the two ranks that change. The ranks are a literal of two arrays in which the rows of the pairs' table are
+   laid over each other, so that a lookup is two accesses for any vocabulary;
+3. an Arrow step holds the ids of the words met and puts those of each document together.
+
+Decoding looks up the bytes of each id, in hex, and joins them.
+
+Steps 1 and 3 hold at most about ``most_words`` words; a task that meets more forgets all of them and folds those that
+come again once more. Besides them a task holds ``chunk`` words of documents, or one document. A word of more than
+``LONG`` bytes has its state in blocks whose least entries are kept, so that a step costs about the root of
+the word's length: 100,000 letters take seconds. Ids have up to 20 bits.
+
+Nulls: a null text is an empty one and has no ids. Invalid UTF-8 counts as U+FFFD. Rows are encoded one by one, so
+ties, repeated rows and other columns don't matter (a column named like out_col is replaced); other columns must be
+of types that Arrow has. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A chunk ends with the document that brings it to so many words; it takes about 0.3 GB of a task.
-CHUNK_WORDS = 1 << 23
-#: An entry of the fold's state is the piece's id, above it (from this bit on) the rank of its pair with the next one.
-_RANK = 16
+#: A task holds about so many words that aren't tokens, about 0.1 GB, and so many words of documents.
+MOST_WORDS, CHUNK = 1 << 19, 1 << 18
+#: Words of more bytes are folded in blocks.
+LONG = 256
+#: Bits of an id. An entry of the fold's state is the piece's id, above it (from this bit on) the rank of its pair with the next one.
+_RANK = 20
 #: A pair without a rank has a bit from here on.
-_NONE = 33
+_NONE = 41
 #: The bit that marks the last piece of a word.
-_LAST = 1 << 51
+_LAST = 1 << 62
 _ID = (1 << _RANK) - 1
 #: White space as the reference implementation's regular expressions know it (Unicode's White_Space).
-_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,8 +59,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern with its white space spelled out, as Java's \\s is ASCII's."""
+def spelled_out(pattern: str) -> str:
+    """The pattern with its white space spelled out, as \\s differs between regular expressions."""
     out, inside, i = [], False, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
@@ -117,17 +128,13 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def words(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(java_pattern(pattern)), 0)
-
-
-def fold(start: Column, entries: Column, shift: Column) -> Column:
-    """The ids of a word, joined by commas, from its first state."""
+def fold(start: Column, entries: Column, shift: Column, long: int = LONG) -> Column:
+    """The ids of a word from its first state; null for null."""
 
     def state(a: Column, b: Column) -> Column:
         return F.get(entries, F.get(shift, a) + b).bitwiseXOR(a * F.lit(PairTable.OWNER))
 
-    def merge(q: Column) -> Column:
+    def merge(q: Column, least: Column) -> Column:
         def at(i: Column) -> Column:
             new = F.shiftright(F.element_at(q, i), _RANK)
             this = F.when(i + 1 < F.size(q), state(new, F.get(q, i + 1).bitwiseAND(_ID))).otherwise(new + F.lit(_LAST))
@@ -136,13 +143,42 @@ def fold(start: Column, entries: Column, shift: Column) -> Column:
             inner = F.flatten(F.array(F.slice(q, F.lit(1), i - 2), F.array(state(F.get(q, i - 2).bitwiseAND(_ID), new), this), tail))
             return F.when(i > 1, inner).otherwise(F.flatten(F.array(F.array(this), tail)))
 
-        return _let(F.array_position(q, F.array_min(q)).cast("int"), at)
+        return _let(F.array_position(q, least).cast("int"), at)
 
     def step(q: Column, _: Column) -> Column:
-        return F.when(F.array_min(q) < F.lit(1 << _NONE), merge(q)).otherwise(q)
+        return F.when(F.array_min(q) < F.lit(1 << _NONE), merge(q, F.array_min(q))).otherwise(q)
+
+    def blocks(q: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(q) - 1) / size).cast("int")), lambda j: F.slice(q, j * size + 1, size))
+
+    kind = "struct<blocks:array<array<bigint>>,least:array<bigint>>"
+
+    def with_least(b: Column) -> Column:
+        return _let(b, lambda x: F.struct(x.alias("blocks"), F.transform(x, F.array_min).alias("least")).cast(kind))
+
+    def replaced(whole: Column, k: Column, part: Column) -> Column:
+        return F.flatten(F.array(F.slice(whole, F.lit(1), k - 1), part, F.slice(whole, k + 4, F.lit(1 << 30))))
 
-    ids = F.aggregate(start, start, step)
-    return F.array_join(F.transform(ids, lambda x: x.bitwiseAND(_ID).cast("string")), ",")
+    def block_step(size: Column):
+        def stepped(s: Column, _: Column) -> Column:
+            def at(k: Column) -> Column:
+                # The pair may end in the next block, and touches a piece of the one before and of the second next. Blocks are never empty.
+                new = _let(F.flatten(F.slice(s["blocks"], k, F.lit(4))), lambda q: blocks(merge(q, F.array_min(s["least"])), size))
+                return _let(with_least(new), lambda n: F.struct(
+                    replaced(s["blocks"], k, n["blocks"]).alias("blocks"), replaced(s["least"], k, n["least"]).alias("least")
+                ).cast(kind))
+
+            first = F.greatest(F.lit(1), F.array_position(s["least"], F.array_min(s["least"])).cast("int") - 1)
+            return F.when(F.array_min(s["least"]) < F.lit(1 << _NONE), _let(first, at)).otherwise(s)
+
+        return stepped
+
+    def in_blocks(size: Column) -> Column:
+        return F.flatten(F.aggregate(start, with_least(blocks(start, size)), block_step(size))["blocks"])
+
+    root = F.greatest(F.lit(64), F.floor(F.sqrt(F.size(start).cast("double")) / 2).cast("int"))
+    ids = F.when(F.size(start) <= long, F.aggregate(start, start, step)).when(F.size(start) > long, _let(root, in_blocks))
+    return F.transform(ids, lambda x: x.bitwiseAND(_ID).cast("int"))
 
 
 class ByteBpe:
@@ -152,118 +188,166 @@ class ByteBpe:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"{len(missing)} single bytes have no rank")
-        self.pattern = pattern
-        if max(ranks.values()) >= 65_536:
-            raise ValueError("ids of more than 16 bits aren't supported")
+        most = max(ranks.values())
+        if most > _ID:
+            raise ValueError(f"an id of more than {_RANK} bits: {most}")
+        self.pattern = spelled_out(pattern)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)])
         # Every way to cut a token into two tokens.
         cuts = {(ranks[k[:i]], ranks[k[i:]]): v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
-        self.pairs = PairTable(cuts, max(ranks.values()) + 1)
+        self.pairs = PairTable(cuts, most + 1)
         # What is a word by itself: a whole token.
-        self.whole: dict[str, str] = {}
+        self.whole: dict[str, int] = {}
         for k, v in ranks.items():
             try:
-                self.whole[k.decode("utf-8")] = str(v)
+                self.whole[k.decode("utf-8")] = v
             except UnicodeDecodeError:
                 continue
-        self.pieces = [b""] * (max(ranks.values()) + 1)
+        self.pieces = [""] * (most + 1)
         for k, v in ranks.items():
-            self.pieces[v] = k
+            self.pieces[v] = k.hex()
 
-    def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids", *, drop: tuple[str, ...] = (), chunk_words: int = CHUNK_WORDS) -> DataFrame:
-        """df with the ids of each text, as a string joined by commas (see ids_of), and without the columns of drop."""
+    def encode(
+        self, df: DataFrame, text_col: str = "text", out_col: str = "ids", *, drop: tuple[str, ...] = (),
+        most_words: int = MOST_WORDS, chunk: int = CHUNK, long: int = LONG,
+    ) -> DataFrame:
+        """df with the ids of each text, an array<int>, and without the columns of drop."""
         kept = [c for c in df.columns if c not in (out_col, *drop)]
         row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
-        cut = df.select(row.alias("row"), words(F.col(text_col), self.pattern).alias("words"))
+        cut = df.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
         schema = T.StructType([
-            T.StructField("rows", T.ArrayType(cut.schema["row"].dataType)),
-            T.StructField("at", T.ArrayType(T.ArrayType(T.IntegerType()))),
-            T.StructField("known", T.ArrayType(T.StringType())),
-            T.StructField("start", T.ArrayType(T.ArrayType(T.LongType()))),
+            T.StructField("row", cut.schema["row"].dataType),
+            T.StructField("numbers", T.BinaryType()),
+            T.StructField("place", T.IntegerType()),
+            T.StructField("start", T.ArrayType(T.LongType())),
         ])
-        numbered = cut.mapInArrow(_numbering(self.whole, self.bytes, self.pairs, chunk_words), schema)
-
-        def documents(entries: Column, shift: Column) -> Column:
-            ids = F.flatten(F.array(F.col("known"), F.transform("start", lambda q: fold(q, entries, shift))))
-            return _let(ids, lambda s: F.zip_with(
-                "rows", "at", lambda r, d: F.struct(r.alias("row"), F.array_join(F.transform(d, lambda i: F.get(s, i)), ",").alias("ids"))
-            ))
-
+        numbered = cut.mapInArrow(_numbering(self.whole, self.pattern, self.bytes, self.pairs, most_words, chunk), schema)
         # Optimised to literals, which are named once.
         entries, shift = (F.from_json(F.lit(json.dumps(x.tolist())), "array<long>") for x in (self.pairs.entries, self.pairs.shift))
-        done = numbered.select(F.explode(_let(entries, lambda e: _let(shift, lambda s: documents(e, s)))).alias("d"))
-        return done.select(*[F.col("d")["row"][c].alias(c) for c in kept], F.col("d")["ids"].alias(out_col))
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids joined by commas."""
-        return _decoder(self.pieces)(ids)
-
-
-def _decoder(pieces: list[bytes]) -> Callable[[Column], Column]:
-    @F.arrow_udf("binary")
-    def decoded(ids: pa.Array) -> pa.Array:
-        parts = pc.split_pattern(ids, ",")
-        numbers = parts.flatten()
-        # The id of no piece is the empty string.
-        number = pc.cast(pc.if_else(pc.equal(numbers, ""), None, numbers), pa.int32())
-        piece = pc.fill_null(pa.array(pieces, pa.binary()).take(number), b"")
-        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
-        joined = pc.binary_join(pa.ListArray.from_arrays(ends, piece), b"")
-        return pc.if_else(ids.is_valid(), joined, None)
-
-    return decoded
-
-
-def _numbering(whole: dict[str, str], first: np.ndarray, pairs: PairTable, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """An Arrow step from rows and their words to chunks: rows, the number of each word, and by these numbers the ids
-    of words that are tokens and then the first states of the others."""
-
-    def chunk(parts: list[pa.RecordBatch], tokens: pa.Array, ids: pa.Array) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        rows, lists = (table.column(c).chunk(0) for c in ("row", "words"))
-        coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary
-        token = pc.index_in(distinct, value_set=tokens)
-        missed = token.is_null().to_numpy(zero_copy_only=False)
-        number = np.where(missed, np.cumsum(missed) - 1 + np.count_nonzero(~missed), np.cumsum(~missed) - 1).astype(np.int32)
-        other = pc.cast(distinct.filter(pa.array(missed)), pa.large_binary())
-        ends = np.concatenate([[0], np.cumsum(pc.binary_length(other).to_numpy(zero_copy_only=False))]).astype(np.int32)
-        piece = first[np.frombuffer(b"".join(other.to_pylist()), np.uint8)]
-        states = piece + _LAST
-        if len(piece):
-            inner = np.ones(len(piece), bool)
-            inner[ends[1:] - 1] = False
-            at = np.flatnonzero(inner)
-            states[at] = pairs.state(piece[at], piece[at + 1])
-        at = number[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)
-        cells = [rows, pa.ListArray.from_arrays(lengths, pa.array(at)), ids.take(token.drop_null()), pa.ListArray.from_arrays(ends, pa.array(states))]
-        return pa.RecordBatch.from_arrays(
-            [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cells], ["rows", "at", "known", "start"]
+        start = F.col("start")
+        folded = numbered.select(
+            "row", "numbers", "place", F.when(start.isNotNull(), _let(entries, lambda e: _let(shift, lambda s: fold(start, e, s, long)))).alias("ids")
         )
+        fields = [T.StructField(f.name, f.dataType) for f in cut.schema["row"].dataType.fields] if kept else []
+        return folded.mapInArrow(_joining([*kept, out_col]), T.StructType([*fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ids = pa.array(list(whole), pa.string()), pa.array(list(whole.values()), pa.string())
-        parts, held = [], 0
+    def decode(self, ids: Column) -> Column:
+        """The bytes of an array of ids; an id of no token has none."""
+        pieces = F.from_json(F.lit(json.dumps(self.pieces)), "array<string>")
+        return _let(pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
+
+
+def _numbering(whole: dict[str, int], pattern: str, first: np.ndarray, pairs: PairTable, most_words: int, chunk: int):
+    """An Arrow step from rows with texts to rows of words (place, start) and of documents (row, numbers). A word's row
+    comes before those that need it. Place 0 means that all words before are forgotten."""
+
+    def states(words: list[bytes]) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
+        piece = first[np.frombuffer(b"".join(words), np.uint8)]
+        out = piece + _LAST
+        inner = np.ones(len(piece), bool)
+        inner[ends[1:] - 1] = False
+        at = np.flatnonzero(inner)
+        out[at] = pairs.state(piece[at], piece[at + 1])
+        return pa.ListArray.from_arrays(ends, pa.array(out))
+
+    names = ["row", "numbers", "place", "start"]
+
+    def of_words(words: list[bytes], place: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(words), 1 << 14):
+            some = words[at : at + (1 << 14)]
+            n = len(some)
+            places = pa.array(np.arange(place + at, place + at + n, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), places, states(some)], names)
+
+    def of_documents(rows: pa.Array, numbers: list[bytes]) -> pa.RecordBatch:
+        n = len(rows)
+        return pa.RecordBatch.from_arrays([rows, pa.array(numbers, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        known = dict(whole)
+        met = told = held = 0  # words met, those of them told of, words of documents that wait
+        new: list[bytes] = []
         for batch in batches:
-            begin = 0
-            for i, n in enumerate(pc.list_value_length(batch.column("words")).to_pylist()):
-                held += n
-                if held >= most:
-                    yield chunk([*parts, batch.slice(begin, i + 1 - begin)], tokens, ids)
-                    parts, held, begin = [], 0, i + 1
-            if begin < batch.num_rows:
-                parts.append(batch.slice(begin))
-        if parts:
-            yield chunk(parts, tokens, ids)
-
-    return chunks
-
-
-def ids_of(joined: Column) -> Column:
-    """array<int> of ids joined by commas."""
-    return F.when(joined == "", F.array().cast("array<int>")).otherwise(F.split(joined, ",").cast("array<int>"))
-
-
-def n_ids(joined: Column) -> Column:
-    return F.when(joined == "", F.lit(0)).otherwise(F.length(joined) - F.length(F.translate(joined, ",", "")) + 1).cast("long")
+            rows, begin, numbers = batch.column("row"), 0, []
+            texts = batch.column("text")
+            for i in range(len(texts)):
+                words = find((texts[i].as_py() or b"").decode("utf-8", "replace"))
+                at = list(map(known.get, words))
+                if None in at:
+                    for k, n in enumerate(at):
+                        if n is None:
+                            n = known.get(words[k])
+                            if n is None:
+                                met += 1
+                                known[words[k]] = n = -met
+                                new.append(words[k].encode())
+                            at[k] = n
+                numbers.append(np.array(at, np.int32).tobytes())
+                held += len(at)
+                if held >= chunk or met >= most_words or i + 1 == len(texts):
+                    yield from of_words(new, told, rows.type)
+                    yield of_documents(rows.slice(begin, i + 1 - begin), numbers)
+                    begin, numbers, new, held, told = i + 1, [], [], 0, met
+                    if met >= most_words:
+                        known, met, told = dict(whole), 0, 0
+
+    return numbered
+
+
+def _joining(names: list[str]):
+    """An Arrow step from rows of words (place, ids) and of documents (row, numbers) to documents with ids."""
+
+    class Words:
+        """The ids of words by place."""
+
+        def __init__(self) -> None:
+            self.ids, self.ends = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+            self.n = 0
+
+        def add(self, lists: pa.ListArray) -> None:
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            ends = self.ends[self.n] + np.cumsum(sizes)
+            while len(self.ends) <= self.n + len(sizes):
+                self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
+            while len(self.ids) < ends[-1]:
+                self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.int32)])
+            self.ids[self.ends[self.n] : ends[-1]] = lists.flatten().to_numpy(zero_copy_only=False)
+            self.ends[self.n + 1 : self.n + 1 + len(sizes)] = ends
+            self.n += len(sizes)
+
+        def of(self, numbers: pa.Array) -> pa.ListArray:
+            at = np.frombuffer(b"".join(numbers.to_pylist()), np.int32)
+            rare = at < 0
+            place = -1 - at[rare].astype(np.int64)
+            begin, count = self.ends[place], self.ends[place + 1] - self.ends[place]
+            sizes = np.ones(len(at), np.int64)
+            sizes[rare] = count
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            out = np.empty(ends[-1], np.int32)
+            out[ends[:-1][~rare]] = at[~rare]
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            out[np.repeat(ends[:-1][rare], count) + within] = self.ids[np.repeat(begin, count) + within]
+            documents = np.concatenate([[0], np.cumsum(pc.binary_length(numbers).to_numpy(zero_copy_only=False) // 4)])
+            return pa.ListArray.from_arrays(pa.array(ends[documents].astype(np.int32)), pa.array(out))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            place = pc.fill_null(batch.column("place"), -1).to_numpy(zero_copy_only=False)
+            # Runs of words and of documents, and a new one where words are forgotten.
+            cuts = np.flatnonzero((place[1:] == 0) | ((place[1:] < 0) != (place[:-1] < 0))) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if place[a] >= 0:
+                    if place[a] == 0:
+                        words = Words()
+                    words.add(part.column("ids"))
+                else:
+                    kept = part.column("row").flatten() if len(names) > 1 else []
+                    yield pa.RecordBatch.from_arrays([*kept, words.of(part.column("numbers"))], names)
+
+    return joined

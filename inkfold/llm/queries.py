@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.llm import license_scan
-from inkfold.llm.bpe import ByteBpe, load_ranks, n_ids
+from inkfold.llm.bpe import ByteBpe, load_ranks
 from inkfold.llm.chat_format import format_chats, masked_text, parse
 from inkfold.llm.common import table
 from inkfold.llm.embedding_dedup import near_vectors
@@ -60,8 +60,8 @@ def bpe_digests(documents: DataFrame) -> DataFrame:
     ids = bpe.encode(documents.select("doc_id", "text"), "text", "ids", drop=("text",))
     return ids.select(
         "doc_id",
-        n_ids(F.col("ids")).alias("n_tokens"),
-        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
     )
 

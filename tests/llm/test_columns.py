@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkfold.llm import license_scan as LS
 from inkfold.llm import progressive_jpeg as J
 from inkfold.llm import queries as Q
-from inkfold.llm.bpe import ByteBpe, ids_of, java_pattern, load_ranks, n_ids
+from inkfold.llm.bpe import ByteBpe, load_ranks, spelled_out
 from inkfold.llm.chat_format import format_chats, masked_text, parse
 from inkfold.llm.mixing import mix, mixture
 from inkfold.llm.quality import good_documents, judge
@@ -36,23 +36,54 @@ def test_bpe_equals_the_library(spark, documents):
     ranks = load_ranks(public_tokenizers.path(Q.VOCABULARY))
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     bpe = ByteBpe(ranks, public_tokenizers.PATTERN)
-    for most in (1, 5, 1000):
-        got = bpe.encode(documents, chunk_words=most).select("doc_id", ids_of(F.col("ids")).alias("array"), n_ids(F.col("ids")).alias("n"), bpe.decode(F.col("ids")).alias("raw"))
+    for options in ({"most_words": 1, "chunk": 1}, {"most_words": 5, "chunk": 3, "long": 1}, {"chunk": 1000, "long": 4}, {}):
+        got = bpe.encode(documents, **options).withColumn("raw", bpe.decode(F.col("ids")))
         for r in got.collect():
-            want = known.encode_ordinary(TEXTS[r.doc_id] or "")
-            assert r.array == want and r.n == len(want) and bytes(r.raw) == (TEXTS[r.doc_id] or "").encode()
+            assert r.ids == known.encode_ordinary(TEXTS[r.doc_id] or "") and bytes(r.raw) == (TEXTS[r.doc_id] or "").encode()
+        assert got.columns == ["doc_id", "text", "ids", "raw"]
     assert bpe.encode(documents.limit(0)).collect() == []
     assert bpe.encode(documents, drop=("text",)).columns == ["doc_id", "ids"]
+    assert bpe.encode(documents, drop=("text", "doc_id")).columns == ["ids"]
+    assert documents.select(bpe.decode(F.lit(None).cast("array<int>")).alias("raw")).first().raw is None
+    inner = documents.select("doc_id", "text", "ids", *[F.col("doc_id").alias(c) for c in ("row", "numbers", "place", "start", "a.b")])
+    assert [(r.doc_id, r.place, r["a.b"], r.ids) for r in bpe.encode(inner).collect()] == [(r.doc_id, r.doc_id, r.doc_id, r.ids) for r in bpe.encode(documents).collect()]
+    broken = documents.limit(1).select("doc_id", F.expr("cast(x'61ff62' as string)").alias("text"))
+    assert bpe.encode(broken).first().ids == known.encode_ordinary("a\ufffdb")
     two = np.array([(a, b) for a in range(0, 50_000, 997) for b in range(0, 50_000, 61)])
     made = {ranks[k[:i]] * 65_536 + ranks[k[i:]]: v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
     two = np.concatenate([two, [divmod(k, 65_536) for k in made]])
     states = bpe.pairs.state(two[:, 0], two[:, 1])
     want = np.array([made.get(a * 65_536 + b, -1) for a, b in two.tolist()])
-    assert (states & 65_535 == two[:, 0]).all() and (np.where(states < 1 << 33, states >> 16, -1) == want).all()
+    assert (states & 0xFFFFF == two[:, 0]).all() and (np.where(states < 1 << 41, states >> 20, -1) == want).all()
     with pytest.raises(ValueError, match="rank"):
         ByteBpe({b"a": 0}, ".")
     with pytest.raises(ValueError, match="brackets"):
-        java_pattern(r"[\S]")
+        spelled_out(r"[\S]")
+
+
+def test_long_words(spark):
+    rng = np.random.default_rng(4)
+    ranks = load_ranks(public_tokenizers.path(Q.VOCABULARY))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a" * 100_000, "ab" * 700 + "aaab" * 300, "".join(map(chr, rng.integers(97, 123, 100_000))), "\u4e2d" * 2000, "e" * 257]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = ByteBpe(ranks, public_tokenizers.PATTERN).encode(rows)
+    # The library takes quadratic time for such words, so it gets them whole and they are few.
+    for r in got.collect():
+        assert r.ids == known.encode_ordinary(r.text)
+
+
+def test_ids_of_20_bits(spark):
+    ranks = {bytes([b]): 1_000_000 + b for b in range(256)} | {b"ab": 500_000, b"abc": 999_999, b"bc": 3, b"aab": 1_048_575}
+    known = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+    texts = ["abc", "aabcabab", "xaabbc", "abcabcaab" * 50]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bpe = ByteBpe(ranks, ".+")
+    for long in (1, 256):
+        for r in bpe.encode(rows, long=long).withColumn("raw", bpe.decode(F.col("ids"))).collect():
+            assert r.ids == known.encode_ordinary(r.text) and bytes(r.raw).decode() == r.text
+    with pytest.raises(ValueError, match="20 bits"):
+        ByteBpe(ranks | {b"zz": 1 << 20}, ".+")
 
 
 # ------------------------------------------------------------------ 3
