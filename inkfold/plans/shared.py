@@ -1,25 +1,95 @@
-"""Tables in the folder that driver and executors share, for iterative plans."""
+"""Tables in the folder that driver and executors share, and joins whose sides are counted first."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of at most this many rows of a few longs (tens of MB as a hash table) may be broadcast.
+BROADCAST_ROWS = 500_000
+#: The keys of a join that are treated as hot have at least this share of all rows, so there are at most as many of them.
+HOT_SHARE = 10_000
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Only where neither the session nor its context names one (tests in local mode) a temporary one is set.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkfold-"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the folder of spark.checkpoint.dir and reads it back, which cuts the lineage."""
+    """Writes df as Parquet into the shared folder and reads it back.
+
+    This cuts the lineage, so that a lost executor costs its unfinished tasks only. The files go when the
+    driver's Python ends, or earlier by release().
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkfold-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get()
-    path = f"{folder.rstrip('/')}/inkfold-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/inkfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._inkfold_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a materialise()d table that nothing reads any more."""
+    path = getattr(df, "_inkfold_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _written[:] = [x for x in _written if x[1] != path]
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # the JVM may be gone already
+            return
+
+
+def sized_join(big: DataFrame, small: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins big with a materialised small side: broadcast if small was counted to hold at most limit rows,
+    else by a shuffle of both."""
+    return big.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+
+
+def label_join(rows: DataFrame, labels: DataFrame, on: list[str], copies: str = "copies", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows left-joined with materialised labels, of which there is one a key; copies (dropped) says how many rows have it.
+
+    Labels are broadcast if they were counted to be at most limit. Beyond, those of hot keys still are, whose number is
+    bounded by HOT_SHARE, so that no task gets a hot key's rows; the others are joined by a shuffle. Keep rows with null keys
+    out of this.
+    """
+    bare = labels.drop(copies)
+    counted = labels.agg(F.count("*").alias("n"), F.sum(copies).alias("rows")).first()
+    if counted["n"] <= limit:
+        return rows.join(F.broadcast(bare), on, "left")
+    hot = F.col(copies) * HOT_SHARE >= F.lit(counted["rows"])
+    warm = F.broadcast(labels.where(hot).drop(copies))
+    rest = rows.join(F.broadcast(labels.where(hot).select(*on)), on, "left_anti").join(labels.where(~hot).drop(copies), on, "left")
+    return rows.join(warm, on, "inner").unionByName(rest)
