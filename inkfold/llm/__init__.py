@@ -1,5 +1,5 @@
 """Operators for preparing training data.
 
-Nothing else in the library imports this subpackage, and it imports nothing from the rest of it.
+Nothing else in the library imports this subpackage; of the rest it uses the shared tables (``plans.shared``) only.
 ``queries.py`` registers one query for each operator.
 """

@@ -2,84 +2,48 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows of a few longs (tens of MB as a hash table) may be broadcast.
-BROADCAST_ROWS = 500_000
+from inkfold.plans.shared import BROADCAST_ROWS, label_join, materialise, release, sized_join
 
-_written: list[tuple[SparkSession, str]] = []
+__all__ = ["BROADCAST_ROWS", "fresh", "label_join", "lean", "materialise", "octets", "release", "sized_join", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only where neither the session nor its context names one (tests in local mode) a temporary one is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkfold-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back.
-
-    This cuts the lineage, so that a lost executor costs its unfinished tasks only. The files go when the
-    driver's Python ends, or earlier by release().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/inkfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._inkfold_path = path
-    return out
+def octets(text: Column) -> Column:
+    """UTF-8 bytes of a text; 0 for null."""
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the files of a materialise()d table that nothing reads any more."""
-    path = getattr(df, "_inkfold_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def sized_join(big: DataFrame, small: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins big with a materialised small side: broadcast if small was counted to hold at most limit rows,
-    else by a shuffle of both."""
-    return big.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow step that gives its memory back to the system: Spark keeps its process for a minute or the next task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from step(batches)
+        trim()
 
-def octets(text: Column) -> Column:
-    """UTF-8 bytes of a text; 0 for null."""
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    return run
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
