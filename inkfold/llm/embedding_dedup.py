@@ -9,28 +9,49 @@ each of its local components, which is enough for exact link counts and componen
 Equal vectors are one vertex with a number of copies. A bucket of more than ``block`` vectors is dealt as
 pairs of blocks to different tasks. A pair that shares several keys is counted in the first such table.
 
-With the defaults, two vectors at cosine 0.95 share a key with probability 0.998, closer ones more
-surely. For corpora of billions of vectors raise ``bits`` (fewer candidates) and ``tables`` with it.
-
-Nulls: vectors that are null, empty, zero, of another length than ``dim``, or hold null or non-finite
-components link with nothing. Rows with a null id link with nothing. Repeated ids with different vectors are
-one vertex. An empty table gives an empty result.
+``bits`` and ``tables`` follow from the table where they aren't given: of n distinct vectors, bits are as many as leave a
+vector about ``CHANCE`` unrelated ones in a bucket, and tables as many as let a pair at the threshold share a key with
+probability ``recall``, closer ones more surely. So the candidates of a vector grow as a small power of n.
+
+Nulls: vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors of different
+lengths never link. Rows with a null id link with nothing. Rows of one id are one vertex: their vectors, if sound, have
+one component. Repeated rows are rows, linked with each other. Other columns aren't read, so their names don't
+matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import materialise, sized_join
+from inkfold.llm.common import label_join, materialise, sized_join
 from inkfold.llm.components import connected_components
 from inkfold.llm.runs import column, fixed_binary, key_runs, run_starts
 
 
+#: Unrelated vectors that a bucket may hold on the average, besides those that are near.
+CHANCE = 40
+
+
+def meeting(distance: float, width: float) -> float:
+    """The probability that two vectors at this Euclidean distance lie in one cell of one direction."""
+    c = width / distance
+    return 1 - math.erfc(c / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * c) * (1 - math.exp(-c * c / 2))
+
+
+def plan(n: int, threshold: float, width: float, recall: float) -> tuple[int, int]:
+    """(bits, tables) for n distinct vectors."""
+    near, apart = meeting(math.sqrt(2 - 2 * min(threshold, 1 - 1e-9)), width), meeting(math.sqrt(2), width)
+    bits = max(4, math.ceil(math.log(max(n, 1) / CHANCE) / -math.log(apart))) if n > CHANCE else 4
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - near**bits))
+
+
 def _hash(vectors: np.ndarray, dim: int, tables: int, bits: int, width: float, seed: int) -> np.ndarray:
     """Bucket keys, shape (vectors, tables). vectors are normalised."""
     rng = np.random.default_rng(seed)
@@ -60,10 +81,10 @@ def near_vectors(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     *,
-    dim: int = 64,
     threshold: float = 0.95,
-    tables: int = 24,
-    bits: int = 6,
+    tables: int | None = None,
+    bits: int | None = None,
+    recall: float = 0.998,
     width: float = 1.2,
     block: int = 2048,
     seed: int = 20,
@@ -72,7 +93,7 @@ def near_vectors(
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = (
         F.col("id").isNotNull()
-        & (F.size("v") == dim)
+        & (F.size("v") > 0)
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
         & F.exists("v", lambda x: x != 0)
     )
@@ -82,41 +103,50 @@ def near_vectors(
             "key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json("v"), 256))
         )
     )
-    classes = materialise(
-        rows.where("v is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    )
+    sound_rows = rows.where("v is not null")
+    classes = sound_rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    # Numbered as they are written, so the numbers are fixed.
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()))
+    planned = plan(classes.count(), threshold, width, recall)
+    bits = planned[0] if bits is None else bits
+    if tables is None:
+        tables = planned[1] if bits == planned[0] else math.ceil(math.log(1 - recall) / math.log(1 - meeting(math.sqrt(2 - 2 * threshold), width) ** bits))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            keys = _hash(x, dim, tables, bits, width, seed)
-            n = b.num_rows
-            raw, all_keys = [r.tobytes() for r in x], [r.tobytes() for r in keys]
-            for lo in range(0, n, max(1, 20_000 // tables)):
-                hi = min(n, lo + max(1, 20_000 // tables))
-                at = np.repeat(np.arange(lo, hi), tables)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.tile(np.arange(tables, dtype=np.int32), hi - lo)),
-                        pa.array(keys[lo:hi].ravel()),
-                        b["rep"].take(pa.array(at)),
-                        b["copies"].take(pa.array(at)),
-                        pa.array([raw[i] for i in at], pa.binary()),
-                        pa.array([all_keys[i] for i in at], pa.binary()),
-                    ],
-                    names=["tab", "bucket", "rep", "copies", "x", "all_keys"],
-                )
+            dims = pc.list_value_length(b["v"]).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                yield from of_length(b.filter(pa.array(dims == dim)), dim)
+
+    def of_length(b: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
+        x = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        keys = _hash(x, dim, tables, bits, width, seed)
+        raw, all_keys = [r.tobytes() for r in x], [r.tobytes() for r in keys]
+        step = max(1, 20_000 // tables)
+        for lo in range(0, b.num_rows, step):
+            hi = min(b.num_rows, lo + step)
+            at = np.repeat(np.arange(lo, hi), tables)
+            yield pa.record_batch(
+                [
+                    pa.array(np.full(len(at), dim, np.int32)),
+                    pa.array(np.tile(np.arange(tables, dtype=np.int32), hi - lo)),
+                    pa.array(keys[lo:hi].ravel()),
+                    b["rep"].take(pa.array(at)),
+                    b["copies"].take(pa.array(at)),
+                    pa.array([raw[i] for i in at], pa.binary()),
+                    pa.array([all_keys[i] for i in at], pa.binary()),
+                ],
+                names=["dim", "tab", "bucket", "rep", "copies", "x", "all_keys"],
+            )
 
     buckets = classes.select("rep", "copies", "v").mapInArrow(
-        hashed, "tab int, bucket long, rep long, copies long, x binary, all_keys binary"
+        hashed, "dim int, tab int, bucket long, rep long, copies long, x binary, all_keys binary"
     )
     # How large each bucket is, from the keys alone; a bucket of one compares nothing.
-    sizes = materialise(buckets.select("tab", "bucket").groupBy("tab", "bucket").count().where("count > 1"))
-    wide = sized_join(buckets, sizes, ["tab", "bucket"], "inner").withColumn(
+    sizes = materialise(buckets.groupBy("dim", "tab", "bucket").count().where("count > 1"))
+    wide = sized_join(buckets, sizes, ["dim", "tab", "bucket"], "inner").withColumn(
         "blocks", F.ceil(F.col("count") / block).cast("int")
     )
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")
@@ -125,14 +155,14 @@ def near_vectors(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("own", "other"))
         .withColumn("hi", F.greatest("own", "other"))
-        .select("tab", "bucket", "lo", "hi", "own", "rep", "copies", "x", "all_keys")
+        .select("dim", "tab", "bucket", "lo", "hi", "own", "rep", "copies", "x", "all_keys")
     )
-    keys = ["tab", "bucket", "lo", "hi"]
+    keys = ["dim", "tab", "bucket", "lo", "hi"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_runs(batches, keys):
             starts = np.append(run_starts(rows, keys), rows.num_rows)
-            x = fixed_binary(rows, "x", np.float64, dim)
+            dims = column(rows, "dim")
             every = fixed_binary(rows, "all_keys", np.int64, tables)
             rep, copies, side = column(rows, "rep"), column(rows, "copies"), column(rows, "own")
             tab, lo, hi = column(rows, "tab"), column(rows, "lo"), column(rows, "hi")
@@ -140,7 +170,8 @@ def near_vectors(
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if b - a < 2:
                     continue
-                links = x[a:b] @ x[a:b].T >= threshold
+                x = fixed_binary(rows.slice(a, b - a), "x", np.float64, int(dims[a]))
+                links = x @ x.T >= threshold
                 np.fill_diagonal(links, False)
                 if lo[a] != hi[a]:  # pairs inside a block are compared in that block's own task
                     links &= side[a:b][:, None] != side[a:b][None, :]
@@ -162,21 +193,33 @@ def near_vectors(
         dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compared, "rep long, n long, root long")
         .groupBy("rep", "root").agg(F.sum("n").alias("n"))
     )
-    component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(_of_one_id(sound_rows, classes))
+    component = materialise(connected_components(edges)).withColumnRenamed("id", "rep")
+    # A component's name is the least id in it.
+    names = materialise(
+        component.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"), F.count("*").alias("copies"))
+    )
+    named = label_join(component, names, ["component"]).select("rep", "name")
     # A class with copies links its members even if no other class is near.
-    per_class = (
-        classes.select("key", "rep", "copies")
+    labels = materialise(
+        classes.select("key", "rep", "least", "copies")
         .join(found.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left")
-        .join(component.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("key", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+        .join(named, "rep", "left")
+        .select("key", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("name", "least").alias("component"))
     )
+    linked = label_join(sound_rows.select("id", "key"), labels, ["key"]).select("id", "n", "component")
+    alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
     return (
-        rows.select("id", "key")
-        .join(per_class, "key", "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
-        )
+        linked.unionByName(alone)
+        .select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"))
         .withColumn("kept", F.col(id_col) == F.col("component_id"))
     )
+
+
+def _of_one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the vectors of one id."""
+    several = materialise(rows.groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("id"))
+    vectors = sized_join(rows.select("id", "key"), several, "id", "left_semi").distinct()
+    vectors = materialise(sized_join(vectors, classes.select("key", "rep"), "key", "inner").select("id", "rep"))
+    first = materialise(vectors.groupBy("id").agg(F.min("rep").alias("first"), F.count("*").alias("copies")))
+    return label_join(vectors, first, ["id"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))

@@ -10,18 +10,21 @@ and the distance exceeds 15 of 32 with probability 0.0001.
 Links are confirmed on full sets (64-bit hashes of all shingles) in integers. To lose no link without
 comparing all pairs of a large group:
 
-1. texts with equal sets are one vertex (its smallest id), so copies are never paired;
+1. texts with equal sets are one vertex, so copies are never paired;
 2. in each entry of the index, all members are confirmed against the least one (a star), and linked
    vertices become components;
 3. in entries whose members still lie in different components, all pairs across components within the
    signature distance are found and their members tied together to clusters, and in a cluster all such pairs are
    confirmed. A pair inside one component changes nothing and is skipped. No pair is ever a row in this step.
+   Blocks of a group's largest component aren't paired with each other.
 
 Entries of more than ``BLOCK`` members and clusters of more than ``SET_BLOCK`` are dealt in pairs of blocks to
 different tasks.
 
-Nulls: a null text, an empty one and one without words have an empty set and link with nothing. Rows with a
-null id link with nothing. Repeated ids are one vertex. An empty table gives an empty result.
+Nulls: a null text, an empty one and one without words have an empty set and link with nothing, whatever other rows
+their id has. Rows with a null id link with nothing. Rows of one id are one document: their texts are linked, if not
+empty, and have one component. Repeated rows stay rows. A text of any length is hashed whole. Columns of any other name
+don't matter, as only id and text are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import materialise, release, sized_join
+from inkfold.llm.common import label_join, materialise, release, sized_join
 from inkfold.llm.components import connected_components
 from inkfold.llm.runs import column, fixed_binary, key_runs, run_starts
 
@@ -48,6 +51,8 @@ SET_BLOCK = 512
 #: Of the members of entries, one in SAMPLE is looked at to find entries worth dealing out. This moves work
 #: between tasks and changes no result.
 SAMPLE, HOT_ENTRIES = 64, 256
+#: Tasks among which the members of a star of more than BLOCK are dealt.
+PARTS = 64
 
 _rng = np.random.default_rng(2)
 _MULTIPLY = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,6 +123,13 @@ def _sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
+def set_name(members: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two longs."""
+    if not len(members):
+        return 0, 0
+    return int(_mixed(members).sum().view(np.int64)), int(_mixed(members ^ _SECOND).sum().view(np.int64))
+
+
 def signature(members: np.ndarray) -> bytes:
     least = np.full(SYMBOLS, np.uint64(2**64 - 1))
     for at in range(0, len(members), 4096):
@@ -133,8 +145,9 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             sizes, hi, lo, sigs = [], [], [], []
             for s in shingle_sets(b["text"].to_pylist(), words):
                 sizes.append(len(s))
-                hi.append(int(_mixed(s).sum().view(np.int64)) if len(s) else 0)
-                lo.append(int(_mixed(s ^ _SECOND).sum().view(np.int64)) if len(s) else 0)
+                name = set_name(s)
+                hi.append(name[0])
+                lo.append(name[1])
                 sigs.append(signature(s) if len(s) else None)
             yield pa.record_batch(
                 [b["id"], pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sigs, pa.binary())],
@@ -221,50 +234,85 @@ def _shared(entries: DataFrame, hot: list[int]) -> DataFrame:
     )
 
 
-def _full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, members binary) of the texts whose ids are wanted: their shingles' hashes, sorted."""
+def _full_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(rep, members binary) of the classes whose rep is wanted: their shingles' hashes, sorted.
+
+    A class's set is read from rows with its least id; where such an id has other texts too, their sets are left out."""
+    mine = materialise(sized_join(classes.select("rep", "least", "hi", "lo"), wanted, "rep", "left_semi"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [s.tobytes() for s in shingle_sets(b["text"].to_pylist(), words)]
-            yield pa.record_batch([b["id"], pa.array(made, pa.binary())], names=["id", "members"])
+            made = [s for s in shingle_sets(b["text"].to_pylist(), words)]
+            names = [set_name(s) for s in made]
+            cells = [pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)]
+            yield pa.record_batch([*cells, pa.array([s.tobytes() for s in made], pa.binary())], names=["hi", "lo", "members"])
+
+    ids = materialise(mine.select(F.col("least").alias("id")).distinct())
+    found = sized_join(texts, ids, "id", "left_semi").mapInArrow(sets, "hi long, lo long, members binary").where("octet_length(members) > 0")
+    return sized_join(found, mine.select("rep", "hi", "lo"), ["hi", "lo"], "inner").select("rep", "members").dropDuplicates(["rep"])
+
+
+def _stars(pairs: DataFrame, payload: DataFrame, check) -> DataFrame:
+    """Of pairs (a, b) those that check() lets through; payload has a row for each rep.
+
+    Rows of one a are dealt to a task, or to PARTS of them beyond BLOCK; a's payload goes to each of them once, before those
+    of its b. check(rows, centre) gets a table with payloads and for each of its rows the index of its a's row."""
+    hot = materialise(pairs.groupBy("a").count().where(F.col("count") >= BLOCK).select("a", F.lit(True).alias("hot")))
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(PARTS))).otherwise(0).cast("int")
+    dealt = sized_join(pairs, hot, "a", "left").select("a", part.alias("part"), "b")
+    rows = dealt.unionByName(dealt.select("a", "part").distinct().withColumn("b", F.col("a")))
+    rows = rows.join(payload.withColumnRenamed("rep", "b"), "b").withColumn("other", (F.col("a") != F.col("b")).cast("int"))
+    keys = ["a", "part"]
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the row of the a whose rows go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = run_starts(b, keys)
+            lens = np.diff(np.append(starts, b.num_rows))
+            goes_on = held is not None and all(held[k][0].as_py() == b[k][0].as_py() for k in keys)
+            first = int(goes_on)
+            centre = np.repeat(starts + first, lens)
+            if goes_on:
+                centre[: lens[0]] = 0
+            table = pa.Table.from_batches([held, b] if goes_on else [b])
+            ok = np.zeros(table.num_rows, bool)
+            ok[first:] = column(b, "other") == 1
+            at = np.flatnonzero(ok)
+            at = at[check(table, at, centre[at - first])]
+            if len(at):
+                yield from table.select(["a", "b"]).take(pa.array(at)).combine_chunks().to_batches()
+            if not (goes_on and len(starts) == 1):
+                held = b.slice(int(starts[-1]), 1)
 
-    return sized_join(texts, wanted, "id", "left_semi").mapInArrow(sets, "id long, members binary").where("octet_length(members) > 0").dropDuplicates(["id"])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "other").mapInArrow(checked, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those within the signature distance whose full sets have 100 * both >= percent * either."""
-    sig_a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
-    sig_b = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (fixed_binary(b, k, np.uint16, SYMBOLS) for k in ("sig_a", "sig_b"))
-            ok = (x != y).sum(axis=1) <= MAX_DISTANCE
-            small, large = np.minimum(column(b, "n_a"), column(b, "n_b")), np.maximum(column(b, "n_a"), column(b, "n_b"))
-            ok &= 100 * small >= percent * large
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    close = materialise(pairs.join(sig_a, "a").join(sig_b, "b").mapInArrow(near, "a long, b long"))
-    wanted = materialise(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
-    full = materialise(_full_sets(texts, wanted, words))
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    links = (
-        close.join(full.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-        .join(full.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        .mapInArrow(confirm, "a long, b long")
-    )
-    links = materialise(links)
+    def near(rows: pa.Table, at: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        sig, n = fixed_binary(rows, "sig", np.uint16, SYMBOLS), column(rows, "n_shingles")
+        ok = (sig[at] != sig[centre]).sum(axis=1) <= MAX_DISTANCE
+        return ok & (100 * np.minimum(n[at], n[centre]) >= percent * np.maximum(n[at], n[centre]))
+
+    close = materialise(_stars(pairs, classes.select("rep", "sig", "n_shingles"), near))
+    wanted = materialise(close.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    full = materialise(_full_sets(texts, classes, wanted, words))
+
+    def confirm(rows: pa.Table, at: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        members, ok = rows["members"].combine_chunks(), np.zeros(len(at), bool)
+        of = -1
+        for k, (i, c) in enumerate(zip(at.tolist(), centre.tolist(), strict=True)):
+            if c != of:
+                x, of = np.frombuffer(members[c].as_buffer(), np.uint64), c
+            y = np.frombuffer(members[i].as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok[k] = 100 * both >= percent * (len(x) + len(y) - both)
+        return ok
+
+    links = materialise(_stars(close, full, confirm))
     for t in (close, wanted, full):
         release(t)
     return links
@@ -301,14 +349,26 @@ def _far_and_near(comp: np.ndarray, sig: np.ndarray, side: np.ndarray | None) ->
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def _in_blocks(members: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFrame:
-    """members with own, lo, hi: a group of more than block members becomes all pairs of its blocks."""
+def _in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
+    """members(group, rep, component, ...) of groups with several components, with own, lo, hi: a group of more than block
+    members becomes pairs of its blocks. Members of a group's largest component have blocks of their own (of
+    negative numbers), which aren't paired with each other, so that work grows with the others times all."""
+    counted = members.groupBy(group, "component").agg(F.count("*").alias("n"))
+    sizes = materialise(
+        counted.groupBy(group).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components"))
+        .where("components > 1").select(group, "n", "most", "main")
+    )
+    small = F.col("n") <= block
+    blocks = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / block)).cast("int")
+    mains = F.when(small, 0).otherwise(F.ceil(F.col("most") / block)).cast("int")
+    dealt = sized_join(members, sizes, group, "inner").withColumns({"blocks": blocks, "mains": mains})
+    is_main = (F.col("mains") > 0) & (F.col("component") == F.col("main"))
+    place = F.xxhash64("rep", F.lit(3))
     return (
-        sized_join(members, sizes.select(group, F.ceil(F.col("n") / block).cast("int").alias("blocks")), group, "inner")
-        .withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt.withColumn("own", F.when(is_main, -1 - F.pmod(place, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(place, F.col("blocks"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.when(F.col("own") < 0, 0).otherwise(-F.col("mains")), F.col("blocks") - 1)))
         .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-        .drop("blocks", "other")
+        .drop("blocks", "mains", "main", "n", "most", "other")
     )
 
 
@@ -316,11 +376,7 @@ def _left_open(shared: DataFrame, component: DataFrame, classes: DataFrame) -> D
     """Edges (a, b) that tie together all members of entries that have a partner in another component within
     the signature distance. A block returns a star for each group it finds, not its pairs."""
     members = shared.select("entry", "rep").join(component, "rep")
-    mixed = materialise(
-        members.groupBy("entry").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-        .where("least <> most").select("entry", "n")
-    )
-    dealt = _in_blocks(members, "entry", mixed, BLOCK).join(classes.select("rep", "sig"), "rep")
+    dealt = _in_blocks(members, "entry", BLOCK).join(classes.select("rep", "sig"), "rep")
     keys = ["entry", "lo", "hi"]
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,13 +412,9 @@ def _links_across(
         .select("rep", F.coalesce("component", "rep").alias("component"))
     )
     cluster = materialise(connected_components(_left_open(shared, label, classes)).withColumnRenamed("component", "cluster"))
-    sizes = materialise(cluster.groupBy("cluster").agg(F.count("*").alias("n")))
-    wanted = materialise(cluster.select("id"))
-    full = materialise(_full_sets(texts, wanted, words))
-    members = (
-        full.withColumnRenamed("id", "rep").join(cluster.withColumnRenamed("id", "rep"), "rep")
-        .join(label, "rep").join(classes.select("rep", "sig"), "rep")
-    )
+    wanted = materialise(cluster.select(F.col("id").alias("rep")))
+    full = materialise(_full_sets(texts, classes, wanted, words))
+    members = materialise(wanted.join(cluster.withColumnRenamed("id", "rep"), "rep").join(label, "rep"))
     keys = ["cluster", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +437,7 @@ def _links_across(
             if a:
                 yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    dealt = _in_blocks(members, "cluster", sizes, SET_BLOCK).select(*keys, "own", "rep", "component", "sig", "members")
+    dealt = _in_blocks(members, "cluster", SET_BLOCK).join(classes.select("rep", "sig"), "rep").join(full, "rep").select(*keys, "own", "rep", "component", "sig", "members")
     return materialise(
         dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
     )
@@ -426,10 +478,12 @@ def near_texts(
         raise ValueError("the signature distance is made for a similarity of 0.8 or more")
     signed = materialise(signatures(df, id_col, text_col, shingle_words))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    classes = materialise(
-        signed.where("n_shingles > 0 and id is not null").groupBy("hi", "lo")
-        .agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    filled = signed.where("n_shingles > 0 and id is not null")
+    classes = filled.groupBy("hi", "lo").agg(
+        F.min("id").alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
     )
+    # Numbered as they are written, so the numbers are fixed.
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()))
     sampled = _entries(classes.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(SAMPLE)) == 0))
     hot = [
         r["entry"]
@@ -442,19 +496,36 @@ def near_texts(
         stars = stars.unionByName(
             centres.join(centres.groupBy("entry").agg(F.min("b").alias("a")), "entry").where("a <> b").select("a", "b")
         )
-    links = _confirmed(stars.distinct(), classes, texts, shingle_words, percent)
+    links = _confirmed(materialise(stars.distinct()), classes, texts, shingle_words, percent)
+    links = links.unionByName(_of_one_id(filled, classes))
     component = materialise(connected_components(links))
     more = _links_across(shared, component, classes, texts, shingle_words, percent)
     if not more.isEmpty():
         grown = component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
         component = materialise(connected_components(grown))
-    label = (
-        classes.select("hi", "lo", "rep").join(component.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("hi", "lo", F.coalesce("component", "rep").alias("component"))
+    component = component.withColumnRenamed("id", "rep")
+    # A component's name is the least id in it.
+    names = materialise(
+        component.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"), F.count("*").alias("copies"))
+    )
+    named = label_join(component, names, ["component"]).select("rep", "name")
+    labels = materialise(
+        classes.select("hi", "lo", "rep", "least", "copies").join(named, "rep", "left").select("hi", "lo", "copies", F.coalesce("name", "least").alias("component"))
     )
-    linked = signed.withColumn("known", (F.col("n_shingles") > 0) & F.col("id").isNotNull())
+    alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component"))
+    linked = label_join(filled.select("id", "n_shingles", "hi", "lo"), labels, ["hi", "lo"]).select("id", "n_shingles", "component")
     return (
-        linked.join(label.withColumn("known", F.lit(True)), ["hi", "lo", "known"], "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        linked.unionByName(alone)
+        .select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
         .withColumn("kept", F.col(id_col) == F.col("component_id"))
     )
+
+
+def _of_one_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the sets of one id."""
+    name = F.xxhash64("hi", "lo")
+    several = materialise(filled.groupBy("id").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("id"))
+    sets = sized_join(filled.select("id", "hi", "lo"), several, "id", "left_semi").distinct()
+    sets = materialise(sized_join(sets, classes.select("hi", "lo", "rep"), ["hi", "lo"], "inner").select("id", "rep"))
+    first = materialise(sets.groupBy("id").agg(F.min("rep").alias("first"), F.count("*").alias("copies")))
+    return label_join(sets, first, ["id"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))

@@ -54,6 +54,28 @@ def test_vectors_against_brute_force(spark, block):
     assert near_vectors(df.limit(0)).collect() == []
 
 
+def test_vectors_of_other_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((2, 128))
+    z = [1.0, 2.0]
+    data = [(3, x), (5, x), (5, y), (8, y), (9, y[:64]), (12, x[:64]), (11, x[:64] * 4), (20, z), (21, [2.0, 4.0]), (22, [-1.0, 2.0]), (7, None), (7, x + 0.001 * y), (30, [5.0]), (31, [7.0]), (32, []), (1, z + [0.0])]
+    df = spark.createDataFrame([(i, None if v is None else [float(c) for c in v]) for i, v in data], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect())
+    assert got == [
+        (1, 0, 1, True), (3, 2, 3, True), (5, 1, 3, False), (5, 2, 3, False), (7, 0, 7, True), (7, 2, 3, False), (8, 1, 3, False), (9, 0, 9, True), (11, 1, 11, True), (12, 1, 11, False),
+        (20, 1, 20, True), (21, 1, 20, False), (22, 0, 22, True), (30, 1, 30, True), (31, 1, 30, False), (32, 0, 32, True),
+    ]
+
+
+def test_plan_grows_with_the_table():
+    from inkfold.llm.embedding_dedup import CHANCE, meeting, plan
+
+    seen = [plan(n, 0.95, 1.2, 0.998) for n in (1, 1000, 100_000, 10**7, 10**9)]
+    assert seen == sorted(seen) and seen[0][0] == 4
+    for n, (bits, tables) in zip((10**5, 10**9), seen[2::2], strict=True):
+        assert n * meeting(2**0.5, 1.2) ** bits <= CHANCE and 1 - (1 - meeting(0.1**0.5, 1.2) ** bits) ** tables >= 0.998
+
+
 def test_index_meets_every_pair_within_the_distance():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 65536, (300, SYMBOLS)).astype(np.uint16)
@@ -116,6 +138,61 @@ def test_hot_entries_and_small_blocks(spark, monkeypatch):
     test_texts_against_brute_force(spark, 4)
 
 
+def by_brute_force(data, words, percent=80):
+    """Component of each (id, text): ids are the vertices."""
+    sets = [(i, exact_sets(t, words)) for i, t in data]
+    pairs = [(i, i) for i, s in sets if s]
+    pairs += [(i, j) for i, a in sets for j, b in sets if a and b and 100 * len(a & b) >= percent * len(a | b)]
+    return union_find(pairs)
+
+
+def test_repeated_ids(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(20)) for c in "xy")
+    rng = np.random.default_rng(9)
+    many = [" ".join(rng.permutation([f"m{i}" for i in range(30)])) for _ in range(12)]
+    for data in (
+        [(3, x), (5, x), (5, y), (8, y)],
+        [(10, x), (10, y), (12, y + " more"), (4, x + " more")],
+        [(9, x), (9, None), (9, ""), (9, x + " more"), (2, y)],
+        [(int(rng.integers(0, 9)), many[rng.integers(0, 12)] + " end" * int(rng.integers(0, 2))) for _ in range(40)],
+    ):
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+        want = by_brute_force(data, 5)
+        got = near_texts(df).collect()
+        assert len(got) == len(data)
+        for r in got:
+            assert r.component_id == (want[r.doc_id] if r.n_shingles else r.doc_id) and r.kept == (r.component_id == r.doc_id)
+
+
+def test_joins_beyond_the_broadcast_limit(spark, monkeypatch):
+    from inkfold.llm import minhash_dedup as M
+    from inkfold.plans import shared
+
+    monkeypatch.setattr(M, "label_join", lambda *a, **k: shared.label_join(*a, **k, limit=3))
+    monkeypatch.setattr(shared, "HOT_SHARE", 20)
+    test_repeated_ids(spark)
+    test_texts_against_brute_force(spark, 4)
+
+
+def test_large_groups(spark, monkeypatch):
+    """One component with most of an entry's members and some apart from it."""
+    from inkfold.llm import minhash_dedup as M
+
+    monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "SET_BLOCK", 4)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.integers(0, 60, rng.integers(0, 4) if i % 3 else rng.integers(2, 6)):
+            w[at] = f"n{rng.integers(0, 5)}"
+        data.append((i, " ".join(w)))
+    want = by_brute_force(data, 5)
+    got = {r.doc_id: r.component_id for r in near_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want and 3 < len(set(want.values())) < 100
+
+
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id, r.kept) for r in near_texts(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False)]
