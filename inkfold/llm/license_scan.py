@@ -14,7 +14,9 @@ any larger rest of them (see ``Template.anchors``). Texts without an anchor aren
 nothing.
 
 All work is within a row; nothing is shuffled. Nulls: a null or empty text has no passages and no hits.
-Repeated rows and ids are judged row by row. An empty table gives an empty result.
+Repeated rows and ids are judged row by row. Templates that tie are all hits, but of those that are alike the closest
+only, or all that tie as closest. A text of any length is looked at whole. A column license_hits of df is replaced,
+columns of any other name stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.common import fresh
+
 # Wordings of notices, by name.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -111,7 +115,8 @@ class Template:
 
 
 def _clean(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    # What is left has no other letters than A-Z and a-z.
+    return F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
 
 
 def _marked(text: Column) -> Column:
@@ -149,8 +154,9 @@ def scan_licenses(
         for b in t.bigrams:
             common[b] = common.get(b, 0) + 1
     anchors = sorted({a for t in made for a in t.anchors(threshold, common)})
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     clean = _clean(text)
+    whole = F.col(fresh(df, "license_text"))
 
     def anchored(words: Column, some: list[str] = anchors) -> Column:
         found = F.lit(False)
@@ -158,7 +164,7 @@ def scan_licenses(
             found = found | F.contains(words, F.lit(a))
         return found
 
-    possible = anchored(F.col("__clean"))
+    possible = anchored(whole)
     table = F.array(
         *[F.struct(F.lit(t.name).alias("name"), F.lit("alike" if t.name in ALIKE else t.name).alias("kind"), F.array(*map(F.lit, t.bigrams)).alias("bigrams"), F.lit(len(t.bigrams)).cast("long").alias("n")) for t in made]
     )
@@ -194,7 +200,7 @@ def scan_licenses(
         return F.flatten(F.transform(F.array(word_bigrams(p)), scored))
 
     limits = [
-        F.when(anchored(F.col("__clean"), t.anchors(threshold, common)), math.floor(len(normalised(templates[t.name])) * (2_000_000 - per) / per + 1e-9)).otherwise(0)
+        F.when(anchored(whole, t.anchors(threshold, common)), math.floor(len(normalised(templates[t.name])) * (2_000_000 - per) / per + 1e-9)).otherwise(0)
         for t in made
     ]
 
@@ -257,7 +263,9 @@ def scan_licenses(
     bare = F.transform(found, lambda h: F.struct(h["license"].alias("license"), h["permille"].alias("permille"), h["passage"].alias("passage")))
     none = F.array().cast("array<struct<license:string,permille:int,passage:string>>")
     hits = F.when(possible, F.sort_array(bare)).otherwise(none)
-    return df.withColumn("__clean", clean).withColumn("license_hits", hits).drop("__clean")
+    name = fresh(df, "license_text")
+    kept = [F.col(f"`{c}`") for c in df.columns if c != "license_hits"]
+    return df.withColumn(name, clean).select(*kept, hits.alias("license_hits"))
 
 
 def oracle(table: str, threshold_millionths: int = 800_000) -> str:
@@ -271,7 +279,7 @@ cut AS (
     regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r]*\\n'), string_split(coalesce(text, ''), chr(10)),
     string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)))) AS passage FROM {table}),
 clean AS (
-  SELECT DISTINCT doc_id, trim(regexp_replace(lower(passage), '[^a-z0-9]+', ' ', 'g')) AS passage FROM cut),
+  SELECT DISTINCT doc_id, trim(lower(regexp_replace(passage, '[^A-Za-z0-9]+', ' ', 'g'))) AS passage FROM cut),
 words AS (SELECT doc_id, passage, string_split(passage, ' ') AS w FROM clean WHERE contains(passage, ' ')),
 sets AS (
   SELECT doc_id, passage, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM words),

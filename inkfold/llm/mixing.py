@@ -2,8 +2,9 @@
 
 A source's weight is its share of tokens to the power tau, normalised. tau = 1 keeps the corpus as it is and
 tau = 0 makes all sources equal; entropy falls and the repetition of small sources falls as tau grows. tau is
-bisected, in one expression over the shares, to the target entropy; where a small source would then be
-repeated more than ``max_epochs`` times as often as the least repeated one, tau is bisected to that limit.
+bisected to the target entropy, by aggregations over the table of sources that try ``PROBES`` exponents at once; where a
+small source would then be repeated more than ``max_epochs`` times as often as the least repeated one, tau is bisected to
+that limit.
 
 The budget is ``budget_tokens``, or else as many tokens as let the least repeated source be used exactly once,
 so that no document is lost. A source's share of the budget is realised as whole epochs and a part of
@@ -11,13 +12,14 @@ one: its documents lie in ``2**block_bits`` blocks, the blocks are permuted by a
 taken in that order until the budget ends within one; in that one, documents are taken in hashed order until
 the budget is reached. A copy never exceeds the source's budget.
 
-Sources are a bounded table: at most ``max_sources`` (it fails beyond, where sources should be grouped first),
-one row for each. A source of any size is spread over its blocks, which are summed before the shuffle;
-windows run over a source's blocks and over one block's documents only.
+There may be any number of sources; their table is broadcast if it was counted to be small, else its hot sources are. A
+source of any size is spread over its blocks, which are summed before the shuffle; windows run over a source's
+blocks and over one block's documents only.
 
 Nulls: a null source is a source of its own; a null text has no tokens; null ids are ordered by the hash of
-null. Repeated rows are documents of their own and are taken or left together. An empty table gives an empty
-result.
+null. Repeated rows are documents of their own and are taken or left together; so are rows that tie in rank. A text of
+any length counts whole. Columns of df named like the three of the result are replaced, others of any name stay. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkfold.llm.common import materialise
+from inkfold.llm.common import fresh, label_join, materialise
 
+#: Exponents that one aggregation tries, and how many aggregations there are: tau is found to PROBES ** -ROUNDS.
+PROBES, ROUNDS = 64, 8
 STEPS = 60
 
 
@@ -38,47 +42,51 @@ def word_tokens(text: Column) -> Column:
     return F.coalesce(F.length(firsts), F.lit(0)).cast("long")
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+def _by_entropy(shares: DataFrame, entropy_share: float) -> float:
+    """The largest tau in 0..1 at which the entropy still is at least the target, from shares(p double)."""
 
+    def entropies(taus: list[float]) -> list[float]:
+        """log of the sum of powers minus the mean of their logs: - sum w ln w."""
+        tau = F.explode(F.transform(F.array(*map(F.lit, taus)), lambda t, i: F.struct(i.alias("i"), t.alias("tau"))))
+        power = F.exp(F.col("t.tau") * F.log("p"))
+        sums = shares.select("p", tau.alias("t")).groupBy("t.i").agg(F.sum(power).alias("z"), F.sum(power * F.col("t.tau") * F.log("p")).alias("logs"))
+        found = {r["i"]: r["h"] for r in sums.select("i", (F.log("z") - F.col("logs") / F.col("z")).alias("h")).collect()}
+        return [found[i] for i in range(len(taus))]
 
-def _entropy(shares: Column, tau: Column) -> Column:
-    powers = F.transform(shares, lambda p: F.pow(p, tau))
-    # log of the sum minus the mean of log powers: - sum w ln w.
-    return F.log(_sum(powers)) - _sum(F.transform(shares, lambda p: F.pow(p, tau) * tau * F.log(p))) / _sum(powers)
+    most, own = entropies([0.0, 1.0])
+    target = own + entropy_share * (most - own)
+    lo, hi = 0.0, 1.0
+    for _ in range(ROUNDS):
+        taus = [lo + (hi - lo) * k / PROBES for k in range(1, PROBES)]
+        good = sum(h >= target for h in entropies(taus))  # it falls, so these come first
+        lo, hi = ([lo] + taus)[good], (taus + [hi])[good]
+    return lo
 
 
-def _bisected(good: Column, shares: Column, condition) -> Column:
-    """The largest tau in 0..1 at which condition(shares, tau) still holds; it holds from 0 up to there."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+def _by_epochs(spread: float, max_epochs: float) -> float:
+    """The least tau in 0..1 at which epochs, in proportion to share ** (tau - 1), differ by max_epochs at most."""
+    lo, hi = 0.0, 1.0
+    if spread <= max_epochs:
+        return lo
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if spread ** (1 - mid) <= max_epochs else (mid, hi)
+    return hi
 
-    def step(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        ok = condition(shares, mid)
-        return F.struct(F.when(ok, mid).otherwise(acc["lo"]).alias("lo"), F.when(ok, acc["hi"]).otherwise(mid).alias("hi"))
 
-    return F.when(good, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda a: a["lo"]))
-
-
-def mixture(sources: DataFrame, *, entropy_share: float, max_epochs: float, max_sources: int = 100_000) -> float:
+def mixture(sources: DataFrame, *, entropy_share: float, max_epochs: float) -> float:
     """tau for sources(tokens long).
 
     The target entropy lies entropy_share of the way from the corpus's own to that of equal sources.
     """
-    row = sources.where("tokens > 0").agg(F.count("*").alias("n"), F.sum("tokens").alias("total")).first()
-    if row["n"] > max_sources:
-        raise ValueError(f"{row['n']} sources; group them into {max_sources} at most")
+    some = sources.where("tokens > 0")
+    row = some.agg(F.count("*").alias("n"), F.sum("tokens").alias("total"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).first()
     if row["n"] < 2:
         return 1.0
-    one = sources.where("tokens > 0").agg(F.sort_array(F.collect_list(F.col("tokens") / F.lit(float(row["total"])))).alias("p"))
-    p = F.col("p")
-    target = _entropy(p, F.lit(1.0)) + F.lit(entropy_share) * (F.log(F.size(p)) - _entropy(p, F.lit(1.0)))
-    by_entropy = _bisected(F.lit(entropy_share <= 0), p, lambda s, tau: _entropy(s, tau) >= target)
-    # Epochs are in proportion to share ** (tau - 1): the smallest source has the most. They meet the limit from
-    # some tau up to 1, so 1 - tau is bisected.
-    spread = F.element_at(p, -1) / F.element_at(p, 1)
-    slack = _bisected(F.pow(spread, F.lit(1.0)) <= max_epochs, p, lambda s, x: F.pow(F.element_at(s, -1) / F.element_at(s, 1), x) <= max_epochs)
-    return one.select(F.greatest(by_entropy, 1 - slack).alias("tau")).first()["tau"]
+    if entropy_share <= 0 or row["least"] == row["most"]:
+        return 1.0
+    shares = some.select((F.col("tokens") / F.lit(float(row["total"]))).alias("p"))
+    return max(_by_entropy(shares, entropy_share), _by_epochs(row["most"] / row["least"], max_epochs))
 
 
 def _block(row_id: Column, bits: int) -> Column:
@@ -106,13 +114,14 @@ def mix(
     """df's rows, each as often as its source's weight asks for, with mix_tokens long (of the row), mix_epoch int
     (from 0) and mix_rank long (its place in the last, broken epoch); such columns of df are replaced."""
     bare = df.drop("mix_tokens", "mix_epoch", "mix_rank")
-    source = F.col(source_col)
+    # A source's name, which isn't null.
+    source = F.concat(F.when(F.col(source_col).isNull(), "").otherwise("="), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     slim = materialise(
         df.select(
             source.alias("s"), F.col(id_col).cast("string").alias("id"), word_tokens(F.col(text_col)).alias("tokens"),
         ).withColumn("rank", _rank(F.col("s"), F.col("id"), block_bits, seed))
     )
-    per_source = materialise(slim.groupBy("s").agg(F.sum("tokens").alias("tokens")))
+    per_source = materialise(slim.groupBy("s").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("copies")))
     tau = mixture(per_source, entropy_share=entropy_share, max_epochs=max_epochs)
     # Epochs of a source: c * tokens ** (tau - 1).
     power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(tau - 1)))
@@ -123,40 +132,37 @@ def mix(
     epochs = F.coalesce(power * F.lit(scale if scale is not None else 1.0), F.lit(1.0))
     plan = per_source.withColumn("epochs", epochs).select(
         "s",
+        "copies",
         # 1e-9: the least repeated source's epochs are 1 but for rounding.
         F.floor(F.col("epochs") + 1e-9).cast("int").alias("whole"),
         F.greatest(F.lit(0), F.floor((F.col("epochs") - F.floor(F.col("epochs") + 1e-9)) * F.col("tokens") + 1e-6)).cast("long").alias("rest"),
     )
     # The block in which a source's budget ends, from its blocks' sums ...
     block = F.shiftright("rank", 32)
-    sums = slim.groupBy("s", block.alias("place")).agg(F.sum("tokens").alias("tokens"))
+    sums = materialise(slim.groupBy("s", block.alias("place")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("copies")))
     running = F.sum("tokens").over(Window.partitionBy("s").orderBy("place"))
     ends = (
-        sums.withColumn("end", running).join(plan.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
-        .where("rest > 0 and end > rest").groupBy("s").agg(F.min(F.struct("place", (F.col("end") - F.col("tokens")).alias("before"), "rest")).alias("e"))
-        .select(F.col("s").alias("t"), "e.*")
+        sums.withColumn("end", running).join(plan.select("s", "rest"), "s")
+        .where("rest > 0 and end > rest").groupBy("s")
+        .agg(F.min(F.struct("place", (F.col("end") - F.col("tokens")).alias("before"), "rest", F.col("copies"))).alias("e"))
+        .select("s", "e.*")
     )
     # ... and the document in it.
-    inside = slim.withColumn("place", block).join(
-        F.broadcast(ends), F.col("s").eqNullSafe(F.col("t")) & (block == ends["place"])
-    ).select("s", "rank", "tokens", "before", "rest")
+    inside = label_join(slim.select("s", block.alias("place"), "rank", "tokens"), materialise(ends), ["s", "place"]).where("rest is not null")
     upto = F.sum("tokens").over(Window.partitionBy("s").orderBy("rank"))
     cut = inside.withColumn("end", F.col("before") + upto).where("end > rest").groupBy("s").agg(F.min("rank").alias("cut"))
-    last = (
-        plan.select(F.col("s").alias("mix_s"), "whole")
-        .join(cut.withColumnRenamed("s", "t"), F.col("mix_s").eqNullSafe(F.col("t")), "left").drop("t")
-        # No cut: the budget takes no part of an epoch, or (of no tokens) all of it.
-        .withColumn("cut", F.coalesce("cut", F.lit(0).cast("long")))
-    )
-    last = materialise(last)  # one row for each source: at most max_sources
-    ranked = bare.withColumn("mix_tokens", word_tokens(F.col(text_col))).withColumn(
-        "mix_rank", _rank(source, F.col(id_col).cast("string"), block_bits, seed)
+    names = {c: fresh(bare, f"mix_{c}") for c in ("s", "whole", "cut", "copies")}
+    # No cut: the budget takes no part of an epoch, or (of no tokens) all of it.
+    last = plan.join(cut, "s", "left").select(
+        F.col("s").alias(names["s"]), F.col("whole").alias(names["whole"]), F.coalesce("cut", F.lit(0).cast("long")).alias(names["cut"]), F.col("copies").alias(names["copies"])
     )
-    joined = ranked.join(F.broadcast(last), source.eqNullSafe(F.col("mix_s")))
-    copies = F.col("whole") + (F.col("mix_rank") < F.col("cut")).cast("int")
+    ranked = bare.withColumns({"mix_tokens": word_tokens(F.col(f"`{text_col}`")), names["s"]: source})
+    ranked = ranked.withColumn("mix_rank", _rank(F.col(names["s"]), F.col(id_col).cast("string"), block_bits, seed))
+    joined = label_join(ranked, materialise(last), [names["s"]], names["copies"])
+    copies = F.col(names["whole"]) + (F.col("mix_rank") < F.col(names["cut"])).cast("int")
     return (
-        joined.withColumn("mix_copies", copies)
-        .where("mix_copies > 0")
-        .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-        .drop("mix_s", "whole", "cut", "mix_copies")
+        joined.withColumn(names["copies"], copies)
+        .where(F.col(names["copies"]) > 0)
+        .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col(names["copies"]) - 1)))
+        .select(*[F.col(f"`{c}`") for c in bare.columns], "mix_tokens", "mix_rank", "mix_epoch")
     )
