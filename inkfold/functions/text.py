@@ -24,7 +24,7 @@ HEAVY_RATIO, MIN_LETTERS, DOMINANT = 0.3, 3, 0.9
 
 def count_of(text: Column, characters: str) -> Column:
     """How many characters of a class (the inside of brackets in a regular expression) text has."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))
 
 
 def let(value: Column, body) -> Column:
@@ -98,15 +98,25 @@ def tokens(sentence: Column) -> Column:
 # ------------------------------------------------------------------ casing
 
 
+def _raised(text: Column, n: Column, lower_rest: bool) -> Column:
+    """text with the character behind its first n raised, and the rest lowered."""
+    rest = F.substring(text, n + 2, F.length(text))
+    return F.concat(F.substring(text, F.lit(1), n), F.upper(F.substring(text, n + 1, F.lit(1))), F.lower(rest) if lower_rest else rest)
+
+
 def case_sentence(sentence: Column, compat: bool = True) -> Column:
     """Mostly upper case: all of it; else the first letter is raised and what follows lowered."""
-    pattern = f"(?s)^([^{LETTER}]*)([{LETTER}])(.*)$"
-    part = [F.regexp_extract(sentence, pattern, i) for i in (1, 2, 3)]
-    return (
-        F.when(mostly_uppercase(sentence, compat), F.upper(sentence))
-        .when(sentence.rlike(f"[{LETTER}]"), F.concat(part[0], F.upper(part[1]), F.lower(part[2])))
-        .otherwise(sentence)
-    )
+
+    def by_counts(s: Column) -> Column:
+        text, letters, upper = s["text"], s["letters"], s["upper"]
+        others = F.length(text) - letters - s["spaces"] if compat else F.lit(0)
+        return (
+            F.when(letters == 0, text).when(upper + others > letters - upper, F.upper(text))
+            .otherwise(let(F.length(F.regexp_extract(text, f"^[^{LETTER}]*", 0)), lambda n: _raised(text, n, True)))
+        )
+
+    counts = F.struct(sentence.alias("text"), count_of(sentence, LETTER).alias("letters"), count_of(sentence, r"\p{Lu}").alias("upper"), count_of(sentence, " ").alias("spaces"))
+    return let(counts, by_counts)
 
 
 def case_paragraph(text: Column, compat: bool = True) -> Column:
@@ -118,16 +128,16 @@ def case_paragraph(text: Column, compat: bool = True) -> Column:
 def line_case(line: Column) -> Column:
     """A line of three letters or more, nine in ten of one case: all upper case, or its first letter raised if it is
     a small one. Letters here are A-Z and a-z."""
-    upper, lower = count_of(line, "A-Z"), count_of(line, "a-z")
-    pattern = "(?s)^([^A-Za-z]*)([a-z])(.*)$"
-    part = [F.regexp_extract(line, pattern, i) for i in (1, 2, 3)]
-    letters = (upper + lower).cast("double")
-    return (
-        F.when(letters < MIN_LETTERS, line)
-        .when(upper / F.greatest(letters, F.lit(1.0)) >= DOMINANT, F.upper(line))
-        .when((lower / F.greatest(letters, F.lit(1.0)) >= DOMINANT) & line.rlike(pattern), F.concat(part[0], F.upper(part[1]), part[2]))
-        .otherwise(line)
-    )
+
+    def by_counts(s: Column) -> Column:
+        text, letters = s["text"], s["upper"] + s["lower"]
+        first = let(F.length(F.regexp_extract(text, "^[^A-Za-z]*", 0)), lambda n: F.when(F.substring(text, n + 1, F.lit(1)).rlike("^[a-z]"), _raised(text, n, False)).otherwise(text))
+        return (
+            F.when(letters < MIN_LETTERS, text).when(s["upper"] / F.greatest(letters, F.lit(1)) >= DOMINANT, F.upper(text))
+            .when(s["lower"] / F.greatest(letters, F.lit(1)) >= DOMINANT, first).otherwise(text)
+        )
+
+    return let(F.struct(line.alias("text"), count_of(line, "A-Z").alias("upper"), count_of(line, "a-z").alias("lower")), by_counts)
 
 
 # ------------------------------------------------------------------ digits, gaps, noise
@@ -135,28 +145,35 @@ def line_case(line: Column) -> Column:
 
 def digit_segments(line: Column) -> Column:
     """Runs of A-Z, a-z, 0-9 with a digit and at least as many digits as letters get digits only, where they can."""
-    runs = F.regexp_extract_all(line, F.lit("([A-Za-z0-9]+|[^A-Za-z0-9]+)"), 1)
 
     def fixed(run: Column) -> Column:
-        digits = count_of(run, "0-9")
-        mostly = (digits > 0) & (digits >= count_of(run, "A-Za-z"))
-        return F.when(mostly & run.rlike("^[A-Za-z0-9]"), F.translate(run, *SEGMENT_DIGITS)).otherwise(run)
+        mostly = run.rlike("^[A-Za-z]*[0-9]") & (count_of(run, "0-9") >= count_of(run, "A-Za-z"))
+        return F.when(mostly, F.translate(run, *SEGMENT_DIGITS)).otherwise(run)
 
-    return F.array_join(F.transform(runs, fixed), "")
+    runs = F.regexp_extract_all(line, F.lit("([A-Za-z0-9]+|[^A-Za-z0-9]+)"), 1)
+    return F.when(line.rlike("[0-9]"), F.array_join(F.transform(runs, fixed), "")).otherwise(line)
 
 
 def numeric_gaps(line: Column) -> Column:
     """Strokes beside a digit become 1; a line of digits and white space closes up; elsewhere a gap between a
     digit and a character before a digit becomes a point."""
-    mapped = F.regexp_replace(line, f"(?<=[0-9])[{STROKES}]|[{STROKES}](?=[0-9])", "1")
     # A private character marks what stood behind a gap until it is mapped.
     mark = "\ue000"
-    gaps = F.regexp_replace(mapped, f"([0-9])[{SPACE}]+([A-Za-z0-9])(?=[0-9])", f"$1.{mark}$2")
-    for digit in sorted(set(SEGMENT_DIGITS[1])):
-        letters = "".join(a for a, b in zip(*SEGMENT_DIGITS, strict=True) if b == digit)
-        gaps = F.regexp_replace(gaps, f"{mark}[{letters}]", digit)
-    closed = F.regexp_replace(mapped, f"[{SPACE}]+", "")
-    return F.when(line.rlike("[^0-9 \t\n\r]"), F.replace(gaps, F.lit(mark), F.lit(""))).otherwise(closed)
+
+    def told(gaps: Column) -> Column:
+        for digit in sorted(set(SEGMENT_DIGITS[1])):
+            letters = "".join(a for a, b in zip(*SEGMENT_DIGITS, strict=True) if b == digit)
+            gaps = F.regexp_replace(gaps, f"{mark}[{letters}]", digit)
+        return F.replace(gaps, F.lit(mark), F.lit(""))
+
+    def closed(mapped: Column) -> Column:
+        gaps = F.regexp_replace(mapped, f"([0-9])[{SPACE}]+([A-Za-z0-9])(?=[0-9])", f"$1.{mark}$2")
+        pointed = let(gaps, lambda g: F.when(F.contains(g, F.lit(mark)), told(g)).otherwise(g))
+        return F.when(line.rlike("[^0-9 \t\n\r]"), pointed).otherwise(F.regexp_replace(mapped, f"[{SPACE}]+", ""))
+
+    # Without a digit nothing changes but a line of white space, which closes up.
+    mapped = F.regexp_replace(line, f"(?<=[0-9])[{STROKES}]|[{STROKES}](?=[0-9])", "1")
+    return F.when(line.rlike("[0-9]") | ~line.rlike("[^ \t\n\r]"), let(mapped, closed)).otherwise(line)
 
 
 def is_noise(line: Column) -> Column:
@@ -167,25 +184,33 @@ def is_noise(line: Column) -> Column:
 def drop_noise_lines(lines: Column) -> Column:
     """array<string> without noise lines. Where noise stands before a line that begins with a-z, it was its first
     letter: T of an upright and a level stroke, I of an upright one."""
-    kind = "struct<out:array<string>,up:boolean,level:boolean>"
 
-    def step(acc: Column, line: Column) -> Column:
-        letter = F.when(acc["up"] & acc["level"], F.lit("T")).when(acc["up"], F.lit("I")).otherwise(F.lit(""))
-        told = F.when(line.rlike("^[a-z]"), F.concat(letter, line)).otherwise(line)
-        return F.when(
-            is_noise(line),
-            F.struct(acc["out"].alias("out"), (acc["up"] | line.rlike(VERTICAL)).alias("up"), (acc["level"] | line.rlike(HORIZONTAL)).alias("level")),
-        ).otherwise(F.struct(F.array_append(acc["out"], told).alias("out"), F.lit(False).alias("up"), F.lit(False).alias("level"))).cast(kind)
+    def without(all_: Column) -> Column:
+        def strokes(i: Column) -> Column:
+            """Of the noise right before line i."""
+            none = F.struct(F.lit(False).alias("up"), F.lit(False).alias("level"))
+            either = lambda a, x: F.struct((a["up"] | x["text"].rlike(VERTICAL)).alias("up"), (a["level"] | x["text"].rlike(HORIZONTAL)).alias("level"))
+            return F.aggregate(F.slice(all_, F.lit(1), i), none, lambda a, x: F.when(x["noise"], either(a, x)).otherwise(none))
+
+        def told(x: Column, i: Column) -> Column:
+            letter = let(strokes(i), lambda a: F.when(a["up"] & a["level"], "T").when(a["up"], "I").otherwise(""))
+            after_noise = F.coalesce(F.get(all_, i - 1)["noise"], F.lit(False))
+            return F.when(x["noise"], F.lit(None)).when(after_noise & x["text"].rlike("^[a-z]"), F.concat(letter, x["text"])).otherwise(x["text"])
+
+        return F.filter(F.transform(all_, told), lambda x: x.isNotNull())
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("up"), F.lit(False).alias("level")).cast(kind)
-    return F.aggregate(lines, start, step, lambda a: a["out"])
+    return let(F.transform(lines, lambda x: F.struct(x.alias("text"), is_noise(x).alias("noise"))), without)
 
 
 def close_heavy_punctuation(text: Column) -> Column:
     """If under three in ten visible characters are A-Z, a-z, 0-9, all white space goes, line ends too (T17)."""
-    visible = F.length(F.regexp_replace(text, "[ \t\n\r]", ""))
-    share = count_of(text, "A-Za-z0-9") / F.greatest(visible, F.lit(1)).cast("double")
-    return F.when((visible > 0) & (share < HEAVY_RATIO), F.regexp_replace(text, f"[{SPACE}]+", "")).otherwise(text)
+
+    def by_counts(s: Column) -> Column:
+        share = s["known"] / F.greatest(s["visible"], F.lit(1)).cast("double")
+        return F.when((s["visible"] > 0) & (share < HEAVY_RATIO), F.regexp_replace(s["text"], f"[{SPACE}]+", "")).otherwise(s["text"])
+
+    visible = F.length(F.regexp_replace(text, "[ \t\n\r]+", ""))
+    return let(F.struct(text.alias("text"), visible.alias("visible"), count_of(text, "A-Za-z0-9").alias("known")), by_counts)
 
 
 def letter_confusions(text: Column) -> Column:
@@ -200,9 +225,10 @@ def punctuation_spacing(text: Column) -> Column:
 
 def post_process(text: Column) -> Column:
     """All of the above, in the order of a reader: lines, noise, the whole text."""
-    lines = F.transform(F.split(text, "\n"), lambda x: digit_segments(numeric_gaps(line_case(x))))
-    joined = F.array_join(drop_noise_lines(lines), "\n")
-    done = punctuation_spacing(letter_confusions(close_heavy_punctuation(joined)))
+    # Every step sees the one before as a value.
+    line = lambda x: let(line_case(x), lambda a: let(numeric_gaps(a), digit_segments))
+    joined = F.array_join(drop_noise_lines(F.transform(F.split(text, "\n"), line)), "\n")
+    done = let(joined, lambda t: punctuation_spacing(letter_confusions(close_heavy_punctuation(t))))
     return F.when(text == "", text).otherwise(done)
 
 

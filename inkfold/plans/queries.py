@@ -408,21 +408,42 @@ def case_paragraph(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.case_paragraph(F.col("text")).alias("cased"))
 
 
-@query(f"""{_LINES}, c AS (SELECT *, {_n("s", "[A-Z]")}::DOUBLE AS u, {_n("s", "[a-z]")}::DOUBLE AS l FROM lines)
-SELECT doc_id, line, CASE WHEN u + l < 3 THEN s WHEN u / (u + l) >= 0.9 THEN upper(replace(s, 'ß', 'SS'))
+_LINE_CASE = """CASE WHEN u + l < 3 THEN s WHEN u / (u + l) >= 0.9 THEN upper(replace(s, 'ß', 'SS'))
   WHEN l / (u + l) >= 0.9 AND regexp_matches(s, '^[^A-Za-z]*[a-z]') THEN regexp_extract(s, '(?s)^([^A-Za-z]*)', 1) || upper(regexp_extract(s, '(?s)^[^A-Za-z]*([a-z])', 1))
-    || regexp_extract(s, '(?s)^[^A-Za-z]*[a-z](.*)$', 1) ELSE s END AS cased FROM c""")
+    || regexp_extract(s, '(?s)^[^A-Za-z]*[a-z](.*)$', 1) ELSE s END"""
+_COUNTED = f"""SELECT *, {_n("s", "[A-Z]")}::DOUBLE AS u, {_n("s", "[a-z]")}::DOUBLE AS l FROM lines"""
+
+
+@query(f"{_LINES}, c AS ({_COUNTED}) SELECT doc_id, line, {_LINE_CASE} AS cased FROM c")
 def line_case(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "line", T.line_case(F.col("s")).alias("cased"))
 
 
-@query(f"""{_LINES} SELECT doc_id, line, array_to_string([CASE WHEN {_n("w", "[0-9]")} > 0 AND {_n("w", "[0-9]")} >= {_n("w", "[A-Za-z]")}
-  AND regexp_matches(w, '^[A-Za-z0-9]') THEN translate(w, 'OoIlLtTZzAaSs', '0011111228855') ELSE w END FOR w IN regexp_extract_all(s, '[A-Za-z0-9]+|[^A-Za-z0-9]+')], '') AS fixed FROM lines""")
+_SEGMENTS = f"""array_to_string([CASE WHEN {_n("w", "[0-9]")} > 0 AND {_n("w", "[0-9]")} >= {_n("w", "[A-Za-z]")}
+  AND regexp_matches(w, '^[A-Za-z0-9]') THEN translate(w, 'OoIlLtTZzAaSs', '0011111228855') ELSE w END FOR w IN regexp_extract_all(s, '[A-Za-z0-9]+|[^A-Za-z0-9]+')], '')"""
+
+
+@query(f"{_LINES} SELECT doc_id, line, {_SEGMENTS} AS fixed FROM lines")
 def digit_segments(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "line", T.digit_segments(F.col("s")).alias("fixed"))
 
 
-@query()
+# Without lookaround: strokes by the characters beside them; gaps in two passes, as a match takes the digit that the next begins with.
+_STROKED = r"""CASE WHEN regexp_matches(s, '[0-9]') AND regexp_matches(s, '[\]\[|!]') THEN array_to_string(
+  [CASE WHEN regexp_matches(ch[i], '[\]\[|!]') AND (regexp_matches(coalesce(ch[i + 1], ''), '^[0-9]') OR i > 1 AND regexp_matches(ch[i - 1], '^[0-9]')) THEN '1' ELSE ch[i] END FOR i IN range(1, len(ch) + 1)], '') ELSE s END"""
+_GAP = f"regexp_replace(%s, '([0-9])[{_SQL_SPACE}]+([A-Za-z0-9][0-9])', '\\1.' || chr(57344) || '\\2', 'g')"
+_POINTED = _GAP % (_GAP % "m")
+for _digit, _letters in (("0", "Oo"), ("1", "IlLtT"), ("2", "Zz"), ("8", "Aa"), ("5", "Ss")):
+    _POINTED = f"regexp_replace({_POINTED}, chr(57344) || '[{_letters}]', '{_digit}', 'g')"
+
+
+def _gaps_sql(source: str) -> str:
+    """CTEs of lines(doc_id, line, s) to gapless(doc_id, line, s)."""
+    return f"""chars AS (SELECT *, regexp_extract_all(s, '(?s).') AS ch FROM {source}), mapped AS (SELECT doc_id, line, s, {_STROKED} AS m FROM chars),
+gapless AS (SELECT doc_id, line, CASE WHEN regexp_matches(s, '[^0-9 \\t\\n\\r]') THEN replace({_POINTED}, chr(57344), '') ELSE regexp_replace(m, '[{_SQL_SPACE}]+', '', 'g') END AS s FROM mapped)"""
+
+
+@query(f"{_LINES}, {_gaps_sql('lines')} SELECT doc_id, line, s AS fixed FROM gapless")
 def numeric_gaps(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "line", T.numeric_gaps(F.col("s")).alias("fixed"))
 
@@ -430,25 +451,37 @@ def numeric_gaps(spark, sf_dir):
 _NOISE = rf"^[{_SQL_SPACE}]*[ilILtT*\-_|!''`.,]{{0,2}}[{_SQL_SPACE}]*$"
 
 
-@query(f"""{_LINES}, f AS (SELECT *, regexp_matches(s, '{_NOISE}') AS noise FROM lines),
+def _quiet_sql(source: str) -> str:
+    """CTEs of source(doc_id, line, s) to quiet(doc_id, n, t): the lines that aren't noise."""
+    return f"""f AS (SELECT *, regexp_matches(s, '{_NOISE}') AS noise FROM {source}),
 g AS (SELECT *, sum(CASE WHEN noise THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS k FROM f),
 h AS (SELECT doc_id, k, bool_or(regexp_matches(s, '[ilIL|!]')) AS up, bool_or(regexp_matches(s, '[*\\-_]')) AS level FROM g WHERE noise GROUP BY 1, 2),
 j AS (SELECT g.doc_id, g.line, CASE WHEN NOT regexp_matches(s, '^[a-z]') THEN '' WHEN up AND level THEN 'T' WHEN up THEN 'I' ELSE '' END || s AS t
   FROM g LEFT JOIN h ON h.doc_id = g.doc_id AND h.k = g.k - 1 WHERE NOT noise),
-a AS (SELECT doc_id, count(*) AS n, string_agg(t, chr(10) ORDER BY line) AS t FROM j GROUP BY 1)
-SELECT d.doc_id, coalesce(n, 0) AS n_lines, coalesce(t, '') AS text FROM documents d LEFT JOIN a USING (doc_id)""")
+quiet AS (SELECT doc_id, count(*) AS n, string_agg(t, chr(10) ORDER BY line) AS t FROM j GROUP BY 1)"""
+
+
+@query(f"{_LINES}, {_quiet_sql('lines')} SELECT d.doc_id, coalesce(n, 0) AS n_lines, coalesce(t, '') AS text FROM documents d LEFT JOIN quiet USING (doc_id)")
 def noise_lines(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").withColumn("kept", T.drop_noise_lines(F.split("text", "\n")))
     return docs.select("doc_id", F.size("kept").cast("long").alias("n_lines"), F.array_join("kept", "\n").alias("text"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN {_n("text", "[^ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]")} > 0 AND {_n("text", "[A-Za-z0-9]")} / {_n("text", "[^ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]")} < 0.3
-  THEN regexp_replace(text, '[{_SQL_SPACE}]+', '', 'g') ELSE text END AS closed FROM documents""")
+def _closed_sql(t: str) -> str:
+    visible = _n(t, "[^ \\t\\n\\r]")
+    return f"""CASE WHEN {visible} > 0 AND {_n(t, "[A-Za-z0-9]")} / {visible} < 0.3 THEN regexp_replace({t}, '[{_SQL_SPACE}]+', '', 'g') ELSE {t} END"""
+
+
+def _spaced_sql(t: str) -> str:
+    return f"regexp_replace(regexp_replace({t}, '[{_SQL_SPACE}]+([,.;:!?])', '\\1', 'g'), '[{_SQL_SPACE}]+([)\\]}}])', '\\1', 'g')"
+
+
+@query(f"SELECT doc_id, {_closed_sql('text')} AS closed FROM documents")
 def punct_heavy(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.close_heavy_punctuation(F.col("text")).alias("closed"))
 
 
-@query(f"""SELECT doc_id, regexp_replace(regexp_replace(text, '[{_SQL_SPACE}]+([,.;:!?])', '\\1', 'g'), '[{_SQL_SPACE}]+([)\\]}}])', '\\1', 'g') AS spaced FROM documents""")
+@query(f"SELECT doc_id, {_spaced_sql('text')} AS spaced FROM documents")
 def punct_spacing(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.punctuation_spacing(F.col("text")).alias("spaced"))
 
@@ -463,7 +496,10 @@ def reduce_spaces(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", T.reduce_spaces(F.col("html")).alias("reduced"), T.contains_spaces(F.col("html")).alias("spaced"))
 
 
-@query()
+@query(f"""{_LINES}, cased AS (SELECT doc_id, line, {_LINE_CASE} AS s FROM ({_COUNTED})), {_gaps_sql('cased')},
+numbered AS (SELECT doc_id, line, {_SEGMENTS} AS s FROM gapless), {_quiet_sql('numbered')},
+shut AS (SELECT doc_id, {_closed_sql('t')} AS t FROM quiet), told AS (SELECT doc_id, regexp_replace(t, '([A-Za-z])I\\]([A-Za-z])', '\\1H\\2', 'g') AS t FROM shut)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce({_spaced_sql('t')}, '') END AS text FROM documents d LEFT JOIN told USING (doc_id)""")
 def post_process(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.post_process(F.col("text")).alias("text"))
 
