@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkfold.operators.kernels import LINE_HIGH, LINE_LOW, MAX_SPECK, PUNCTUATION_HEIGHT, VALLEY_DEPTH, VALLEY_WINDOW
+
 ID = "grid_id"
 
 
@@ -119,6 +121,36 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.join(corner, ID).select(ID, (F.col("x") - F.col("l")).alias("x"), (F.col("y") - F.col("t")).alias("y"))
 
 
+def clear(cells: DataFrame) -> DataFrame:
+    """No ink at all."""
+    return cells.limit(0)
+
+
+def set_cells(cells: DataFrame, sizes: DataFrame, marks: DataFrame) -> DataFrame:
+    """cells after marks(grid_id, x, y, on boolean), of which those outside of the grid change nothing. Of marks on one cell ink wins."""
+    inside = marks.join(sizes, ID).where("x >= 0 and y >= 0 and x < cols and y < rows").groupBy(ID, "x", "y").agg(F.max("on").alias("on"))
+    kept = cells.select(ID, "x", "y").join(inside, [ID, "x", "y"], "left_anti")
+    return kept.unionByName(inside.where("on").select(ID, "x", "y"))
+
+
+def translate(cells: DataFrame, dx: int, dy: int) -> DataFrame:
+    """Cells moved; a piece's place isn't bounded by its grid."""
+    return cells.select(ID, (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+
+
+def shape_tests(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(grid_id, is_empty, is_line, is_speck, is_punctuation): by the ink's box; a speck is a grid of two cells or a line."""
+    box = content_rect(cells)
+    high, wide = F.col("height"), F.col("width")
+    inked = wide.isNotNull()
+    line = F.coalesce(inked & ~(high / wide).between(LINE_LOW, LINE_HIGH), F.lit(False))
+    both = sizes.join(box, ID, "left").withColumn("is_line", line)
+    return both.select(
+        ID, (~inked).alias("is_empty"), "is_line", (F.col("is_line") | (F.col("cols") * F.col("rows") <= MAX_SPECK)).alias("is_speck"),
+        F.coalesce(inked & (high < F.col("rows") * PUNCTUATION_HEIGHT), F.lit(False)).alias("is_punctuation"),
+    )
+
+
 def fill_threshold(density: Column) -> Column:
     return F.when(density <= 0.2, 0.25).when(density >= 0.5, 0.45).otherwise(0.25 + 0.2 * ((density - 0.2) / 0.3))
 
@@ -232,6 +264,24 @@ def valley_threshold(bins: DataFrame, key: str, at: str = "x", n: str = "n") ->
     return low.groupBy(key).agg(F.min("valley").alias("least")).select(key, F.coalesce(F.floor(F.col("least") * 1.2), F.lit(-1)).cast("long").alias("threshold"))
 
 
+def soft_valleys(bins: DataFrame, key: str, at: str = "x", n: str = "n") -> DataFrame:
+    """(key, valley) from gapless bins that count from 0: middles of level runs, off the borders, that are no higher than what
+    is before them (a run of one: and behind it) and at most VALLEY_DEPTH of the lower of the peaks VALLEY_WINDOW bins to each side."""
+    order = Window.partitionBy(key).orderBy(at)
+    told = bins.withColumns({
+        "new": F.coalesce((F.col(n) != F.lag(n).over(order)).cast("int"), F.lit(0)),
+        "left_peak": F.max(n).over(order.rowsBetween(-VALLEY_WINDOW, -1)), "right_peak": F.max(n).over(order.rowsBetween(1, VALLEY_WINDOW)),
+        "before": F.lag(n).over(order), "behind": F.lead(n).over(order),
+    }).withColumn("run", F.sum("new").over(order))
+    runs = told.groupBy(key, "run").agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.first(n).alias("v"), F.min_by("before", at).alias("before"), F.max_by("behind", at).alias("behind"),
+        F.min_by("left_peak", at).alias("left_peak"), F.max_by("right_peak", at).alias("right_peak"),
+    )
+    peak = F.least("left_peak", "right_peak")
+    low = (F.col("v") <= F.col("before")) & F.col("behind").isNotNull() & ((F.col("last") > F.col("first")) | (F.col("v") <= F.col("behind"))) & (peak > 0) & (F.col("v") <= F.floor(peak * VALLEY_DEPTH + 0.5))
+    return runs.where(low).select(key, (F.col("first") + F.floor((F.col("last") - F.col("first")) / 2)).cast("int").alias("valley"))
+
+
 def split_columns(cells: DataFrame, cuts: DataFrame) -> DataFrame:
     """(grid_id, part, x, y) by cuts(grid_id, offsets array<int>): parts count from 0, each moved to its first column."""
     part = F.size(F.filter("offsets", lambda o: o <= F.col("x")))

@@ -279,22 +279,18 @@ def valley_threshold(h: np.ndarray) -> int:
 
 
 def soft_valleys(h: np.ndarray) -> list[int]:
-    """Middles of runs no higher than their neighbours and far below the peaks two columns to each side."""
-    out, i = [], 1
-    while len(h) >= 3 and i < len(h) - 1:
-        if h[i] > h[i - 1] or h[i] > h[i + 1]:
-            i += 1
-            continue
-        last = i
-        while last + 1 < len(h) and h[last + 1] == h[i]:
-            last += 1
-        before = h[max(0, i - VALLEY_WINDOW) : i]
-        behind = h[min(len(h) - 1, last + 1) : last + VALLEY_WINDOW + 1]
-        peak = min(int(before.max(initial=0)), int(behind.max(initial=0)))
-        if peak and h[i] <= half_up(peak * VALLEY_DEPTH):
-            out.append(i + (last - i) // 2)
-        i = last + 1
-    return out
+    """Middles of level runs, off the borders, that are no higher than what is before them (a run of one: and behind it) and at
+    most VALLEY_DEPTH of the lower of the peaks VALLEY_WINDOW columns to each side."""
+    h = np.asarray(h, dtype=np.int64)
+    runs = np.array(_flats(h)).reshape(-1, 2)[1:-1]
+    if not len(runs):
+        return []
+    # around[i] has the VALLEY_WINDOW columns before column i; beyond the borders there is nothing.
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(h, VALLEY_WINDOW), VALLEY_WINDOW)
+    first, last = runs.T
+    peak = np.minimum(around[first].max(axis=1), around[last + 1 + VALLEY_WINDOW].max(axis=1))
+    low = (h[first] <= h[first - 1]) & ((last > first) | (h[first] <= h[last + 1])) & (peak > 0) & (h[first] <= np.floor(peak * VALLEY_DEPTH + 0.5))
+    return ((first + last) // 2)[low].tolist()
 
 
 def split_offsets(grid: np.ndarray, soft: bool = True) -> list[int]:

@@ -196,12 +196,11 @@ r AS (SELECT grid_id, template_id, c, n + m - c AS e, row_number() OVER (PARTITI
   FROM b JOIN n USING (grid_id) JOIN m USING (template_id))
 SELECT grid_id, template_id, c AS "both", e AS either FROM r WHERE k = 1""")
 def template_iou_top1(spark, sf_dir):
-    cells, _ = _cells(spark, sf_dir)
-    e = _table(spark, sf_dir, "embeddings")
-    first = e.groupBy(F.col("label").alias("template_id")).agg(F.min("vec_id").alias("grid_id"))
-    templates = cells.join(F.broadcast(first), "grid_id").select("template_id", "x", "y")
-    scored = grids.overlap_scores(cells, templates).withColumn("score", F.col("both") / F.col("either")).withColumn("def_idx", F.col("template_id"))
-    return matching.ranked(scored, "grid_id", top=1).select("grid_id", "template_id", "both", "either")
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", matching.pack_bits(F.transform("embedding", lambda v: F.coalesce(v > 0, F.lit(False)))).alias("bits"))
+    templates = e.groupBy(F.col("label").alias("template_id")).agg(F.min_by("bits", "vec_id").alias("bits"))
+    best = matching.best_template(F.col("bits"), templates)
+    found = e.select(F.col("vec_id").alias("grid_id"), best.alias("b")).where("b is not null")
+    return found.select("grid_id", "b.template_id", F.col("b.both").cast("long").alias("both"), F.col("b.either").cast("long").alias("either"))
 
 
 @query("""WITH c AS (SELECT l_returnflag, (l_quantity * 5)::INT AS level, count(*) AS n FROM lineitem GROUP BY 1, 2),
@@ -505,11 +504,11 @@ def post_process(spark, sf_dir):
 
 
 _DICTIONARY = """WITH u AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM benchmark),
-f AS (SELECT word, count(*) AS n FROM u GROUP BY 1 ORDER BY n DESC, word LIMIT 1000), d AS (SELECT row_number() OVER (ORDER BY n DESC, word) - 1 AS idx, word FROM f)"""
+f AS (SELECT word, count(*) AS n FROM u GROUP BY 1), d AS (SELECT row_number() OVER (ORDER BY n DESC, word) - 1 AS idx, word FROM f)"""
 
 
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correction.frequent_words(_table(spark, sf_dir, "benchmark"), "text", 1_000)
+    return correction.words_of(_table(spark, sf_dir, "benchmark"), "text")
 
 
 @query(f"""{_DICTIONARY}, w AS (SELECT DISTINCT n_name AS word FROM nation UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part),
@@ -520,7 +519,27 @@ def nearest_word(spark, sf_dir):
     return correction.nearest_words(words, _dictionary(spark, sf_dir))
 
 
-@query()
+_GUESSED = "[" + ", ".join(f"CASE WHEN contains(token, '{k}') THEN replace(token, '{k}', '{x}') END" for k, subs in correction.CONFUSIONS for x in subs) + "]"
+# DuckDB's distance counts bytes; no word of the dictionary has others than a-z.
+_ONE_BYTE = r"regexp_replace(lower(token), '[^\x00-\x7F]', chr(1), 'g')"
+_TOKENS = f"[{_SQL_SPACE}]+|[.,!?;:]|[^{_SQL_SPACE}.,!?;:¤]+"
+
+
+@query(f"""{_DICTIONARY}, p AS (SELECT item_id, string_split(text, chr(10)) AS l FROM benchmark),
+q AS (SELECT item_id, unnest(l) AS s, unnest(range(len(l))) AS line FROM p), z AS (SELECT item_id, line, regexp_extract_all({_FIXED}, '{_TOKENS}') AS t FROM q),
+t AS (SELECT item_id, line, unnest(t) AS token, unnest(range(len(t))) AS pos FROM z),
+o AS (SELECT DISTINCT token FROM t WHERE length(token) > 1 AND {_n("token", "[0-9]")} <= {_n("token", _SQL_LETTER)} AND lower(token) NOT IN (SELECT word FROM d)),
+g AS (SELECT token, unnest({_GUESSED}) AS g, unnest(range({sum(len(x) for _, x in correction.CONFUSIONS)})) AS i FROM o),
+hit AS (SELECT token, arg_min(g.g, i) AS g FROM g JOIN d ON lower(g.g) = d.word GROUP BY 1), h AS (SELECT token, hit.g AS g FROM o LEFT JOIN hit USING (token)),
+k AS (SELECT token, d.word AS g, row_number() OVER (PARTITION BY token ORDER BY levenshtein({_ONE_BYTE}, d.word), length(d.word) DESC, idx) AS k FROM h, d WHERE g IS NULL),
+e AS (SELECT token, g || CASE WHEN right(token, 1) = 's' OR right(token, 1) = 'S' AND length(token) - 1 = length(g) THEN right(token, 1) ELSE '' END AS g FROM k WHERE k = 1),
+f2 AS (SELECT token, g AS fixed FROM h WHERE g IS NOT NULL
+  UNION ALL SELECT token, CASE WHEN length(token) = length(g) THEN array_to_string([CASE WHEN lower(token[i]) = lower(g[i]) THEN token[i] ELSE g[i] END FOR i IN range(1, length(token) + 1)], '') ELSE g END FROM e),
+w AS (SELECT item_id, line, string_agg(coalesce(fixed, token), '' ORDER BY pos) AS s FROM t LEFT JOIN f2 USING (token) GROUP BY 1, 2),
+y AS (SELECT item_id, line, regexp_extract_all(s, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+') AS l FROM w), v AS (SELECT item_id, line, unnest(l) AS x, unnest(range(len(l))) AS i FROM y),
+c AS (SELECT *, {_n("x", _SQL_LETTER)} AS letters, {_n("x", chr(92) + "p{Lu}")} AS up FROM v), j AS (SELECT item_id, line, string_agg({_CASE}, '' ORDER BY i) AS s FROM c GROUP BY 1, 2),
+a AS (SELECT q.item_id, string_agg(coalesce(j.s, ''), chr(10) ORDER BY q.line) AS corrected FROM q LEFT JOIN j USING (item_id, line) GROUP BY 1)
+SELECT item_id, text, corrected FROM benchmark LEFT JOIN a USING (item_id)""")
 def apply_correction(spark, sf_dir):
     return correction.apply_correction(_table(spark, sf_dir, "benchmark"), "text", "corrected", _dictionary(spark, sf_dir))
 

@@ -43,7 +43,7 @@ def get_matrix(templates: DataFrame, asked: DataFrame) -> DataFrame:
     first = templates.groupBy("character").agg(F.min_by("matrices", "def_idx").alias("matrices"))
     empty = F.struct(F.lit(None).cast("string").alias("font"), F.lit(0).alias("rows"), F.lit(0).alias("cols"), F.array().cast("array<string>").alias("data"))
     found = F.when(F.col("index") >= 0, F.get("matrices", F.col("index")))
-    return asked.join(F.broadcast(first), "character", "left").withColumn("matrix", F.coalesce(found, empty)).drop("matrices")
+    return asked.join(first, "character", "left").withColumn("matrix", F.coalesce(found, empty)).drop("matrices")
 
 
 def upsert_templates(templates: DataFrame, fresh: DataFrame) -> DataFrame:
