@@ -581,22 +581,22 @@ def template_training(spark, sf_dir):
 
 @query()
 def image_layout(spark, sf_dir):
-    """Lines and glyphs of the rendered names of all nations."""
+    """Lines and glyphs of the rendered names of all suppliers."""
     from inkfold.plans.engine import Engine
     from inkfold.sources.render import rendered, stroke_templates
 
-    grid = rendered(_table(spark, sf_dir, "nation"), "n_nationkey", "n_name", 28)
-    glyphs = Engine(stroke_templates(spark)).layout(grid, "n_nationkey").select("n_nationkey", "band_id", F.posexplode("glyphs").alias("pos", "g"))
-    return glyphs.select("n_nationkey", "band_id", "pos", "g.x", "g.y", "g.cols", "g.rows")
+    grid = rendered(_table(spark, sf_dir, "supplier"), "s_suppkey", "s_name", 28)
+    glyphs = Engine(stroke_templates(spark)).layout(grid, "s_suppkey").select("s_suppkey", "band_id", F.posexplode("glyphs").alias("pos", "g"))
+    return glyphs.select("s_suppkey", "band_id", "pos", "g.x", "g.y", "g.cols", "g.rows")
 
 
 @query()
 def image_to_text(spark, sf_dir):
-    """The rendered names of all nations, read back, with their accuracy."""
+    """The rendered names of all suppliers as PNG bytes, read back, with their accuracy."""
     from inkfold.plans.engine import Engine
+    from inkfold.sources.png import decode_images, samples
     from inkfold.sources.render import rendered, stroke_templates
 
-    nation = _table(spark, sf_dir, "nation")
-    grid = rendered(nation, "n_nationkey", "n_name", 28)
-    read = Engine(stroke_templates(spark)).read_text(grid, "n_nationkey").withColumnRenamed("text", "actual")
-    return evaluate.per_case(read.join(nation.select("n_nationkey", F.col("n_name").alias("expected")), "n_nationkey"))
+    images = samples(rendered(_table(spark, sf_dir, "supplier"), "s_suppkey", "s_name", 28), "s_suppkey", "grid", "expected")
+    read = Engine(stroke_templates(spark)).read_images(decode_images(images, "image_id", "media")).withColumnRenamed("text", "actual")
+    return evaluate.per_case(read.join(images.select("image_id", "expected"), "image_id"))
