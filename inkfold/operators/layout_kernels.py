@@ -8,7 +8,7 @@ doesn't move its origin); compat=False repairs them.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from functools import cmp_to_key
+from functools import cached_property, cmp_to_key
 
 import numpy as np
 
@@ -351,6 +351,15 @@ class Templates:
         )
 
 
+    @cached_property
+    def prepared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Matrices as numbers, their ink, where each template's begin, and the place of each in its template."""
+        weights = self.bits.astype(np.float32)
+        starts = np.flatnonzero(np.diff(self.owner, prepend=-1))
+        within = np.arange(len(self.owner)) - np.repeat(starts, np.diff(np.append(starts, len(self.owner))))
+        return weights, weights.sum(axis=1, keepdims=True), starts, within
+
+
 def match_features(grid: np.ndarray) -> tuple[int, int, int, int]:
     return K.enclosures(grid), int(K.is_punctuation(grid)), int(K.vertical_line(grid, "left")), int(K.vertical_line(grid, "right"))
 
@@ -364,15 +373,17 @@ def scores(grid: np.ndarray, templates: Templates, supported: str = "") -> list[
         return []
     norm = K.normalise(grid)
     both = np.stack([norm.reshape(-1), K.erode_soft(norm).reshape(-1)]).astype(np.float32)
-    bits = templates.bits.astype(np.float32)
-    common = bits @ both.T
-    either = bits.sum(axis=1, keepdims=True) + both.sum(axis=1) - common
+    weights, ink, starts, within = templates.prepared
+    common = weights @ both.T
+    either = ink + both.sum(axis=1) - common
     iou = np.where(either > 0, common / np.maximum(either, 1), 0.0).astype(np.float64).max(axis=1)
-    found = []
-    for i in np.flatnonzero(fits):
-        own = iou[templates.owner == i]
-        best = int(own.argmax()) if len(own) and own.max() > 0 else 0
-        found.append((templates.characters[i], best, BEST * own.max() + AVERAGE * own.mean() if len(own) else 0.0))
+    best, score = np.zeros(len(fits), int), np.zeros(len(fits))
+    if len(starts):
+        owner, most = templates.owner[starts], np.maximum.reduceat(iou, starts)
+        sizes = np.diff(np.append(starts, len(iou)))
+        score[owner] = BEST * most + AVERAGE * (np.add.reduceat(iou, starts) / sizes)
+        best[owner] = np.minimum.reduceat(np.where(iou == np.repeat(most, sizes), within, len(iou)), starts)
+    found = [(templates.characters[i], int(best[i]), float(score[i])) for i in np.flatnonzero(fits)]
     found.sort(key=lambda s: -s[2])
     return promote(found, norm, grid)
 
