@@ -11,15 +11,21 @@ that are one stage, so nothing is shuffled, collected or written between them:
    laid over each other, so that a lookup is two accesses for any vocabulary;
 3. an Arrow step holds the ids of the words met and puts those of each document together.
 
-Decoding looks up the bytes of each id, in hex, and joins them.
+Decoding looks up the bytes of each id and joins them, in an Arrow step.
 
 Steps 1 and 3 hold at most about ``most_words`` words; a task that meets more forgets all of them and folds those that
-come again once more. Besides them a task holds ``chunk`` words of documents, or one document. A word of more than
-``LONG`` bytes has its state in blocks whose least entries are kept, so that a step costs about the root of
-the word's length: 100,000 letters take seconds. Ids have up to 20 bits.
+come again once more. Besides them a task holds ``chunk`` words of documents, or one document. Ids have up to 20 bits.
+
+A word of more than ``LONG`` bytes is folded in overlapping windows. Pieces only grow, and no merge crosses an end of a
+piece of the result; so if the result of A + B has an end between A and B, it is that of A and that of B. And if that holds
+for all neighbours in a row of parts, it holds for the row: the first merge across a border would have been made in its two
+neighbours alone, too. A window begins where a part ends, and the next part ends where its result and the one of the window
+before both have an end, which shows this for two neighbours each. So 100,000 letters take seconds. Where
+windows agree on no end, wider ones are tried; then the word is folded whole, its state in blocks whose least entries are kept, so that a step costs about
+the root of the word's length.
 
 Nulls: a null text is an empty one and has no ids. Invalid UTF-8 counts as U+FFFD. Rows are encoded one by one, so
-ties, repeated rows and other columns don't matter (a column named like out_col is replaced); other columns must be
+ties, repeated rows and other columns don't matter (those named like the new ones are replaced); other columns must be
 of types that Arrow has. An empty table gives an empty result.
 """
 
@@ -38,10 +44,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A task holds about so many words that aren't tokens, about 0.1 GB, and so many words of documents.
-MOST_WORDS, CHUNK = 1 << 19, 1 << 18
-#: Words of more bytes are folded in blocks.
-LONG = 256
+from inkfold.llm.common import lean
+
+#: A task holds about so many words that aren't tokens, some 0.1 GB, and so many words of documents.
+MOST_WORDS, CHUNK = 1 << 19, 1 << 17
+#: Words of more bytes are folded in windows of so many bytes.
+LONG, WINDOW = 256, 128
 #: Bits of an id. An entry of the fold's state is the piece's id, above it (from this bit on) the rank of its pair with the next one.
 _RANK = 20
 #: A pair without a rank has a bit from here on.
@@ -128,22 +136,22 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold(start: Column, entries: Column, shift: Column, long: int = LONG) -> Column:
-    """The ids of a word from its first state; null for null."""
+def fold(start: Column, entries: Column, shift: Column, lengths: Column, long: int = LONG, window: int = WINDOW) -> Column:
+    """The ids of a word from its first state; null for null. lengths: bytes of each id."""
 
     def state(a: Column, b: Column) -> Column:
         return F.get(entries, F.get(shift, a) + b).bitwiseXOR(a * F.lit(PairTable.OWNER))
 
     def merge(q: Column, least: Column) -> Column:
         def at(i: Column) -> Column:
-            new = F.shiftright(F.element_at(q, i), _RANK)
-            this = F.when(i + 1 < F.size(q), state(new, F.get(q, i + 1).bitwiseAND(_ID))).otherwise(new + F.lit(_LAST))
-            tail = F.slice(q, i + 2, F.lit(1 << 30))
-            # flatten() is far cheaper than concat(), which Spark doesn't compile within lambdas.
-            inner = F.flatten(F.array(F.slice(q, F.lit(1), i - 2), F.array(state(F.get(q, i - 2).bitwiseAND(_ID), new), this), tail))
-            return F.when(i > 1, inner).otherwise(F.flatten(F.array(F.array(this), tail)))
+            new = F.shiftright(F.get(q, i), _RANK)
+            this = F.when(i + 2 < F.size(q), state(new, F.get(q, i + 2).bitwiseAND(_ID))).otherwise(new + F.lit(_LAST))
+            before = state(F.get(q, i - 1).bitwiseAND(_ID), new)
+            places = F.sequence(F.lit(0), F.size(q) - 2)
+            # One pass is cheaper than slices that are put together again.
+            return F.transform(places, lambda j: F.when(j < i - 1, F.get(q, j)).when(j > i, F.get(q, j + 1)).when(j == i, this).otherwise(before))
 
-        return _let(F.array_position(q, least).cast("int"), at)
+        return _let(F.array_position(q, least).cast("int") - 1, at)
 
     def step(q: Column, _: Column) -> Column:
         return F.when(F.array_min(q) < F.lit(1 << _NONE), merge(q, F.array_min(q))).otherwise(q)
@@ -151,10 +159,8 @@ def fold(start: Column, entries: Column, shift: Column, long: int = LONG) -> Col
     def blocks(q: Column, size: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(q) - 1) / size).cast("int")), lambda j: F.slice(q, j * size + 1, size))
 
-    kind = "struct<blocks:array<array<bigint>>,least:array<bigint>>"
-
     def with_least(b: Column) -> Column:
-        return _let(b, lambda x: F.struct(x.alias("blocks"), F.transform(x, F.array_min).alias("least")).cast(kind))
+        return _let(b, lambda x: F.struct(x.alias("blocks"), F.transform(x, F.array_min).alias("least")))
 
     def replaced(whole: Column, k: Column, part: Column) -> Column:
         return F.flatten(F.array(F.slice(whole, F.lit(1), k - 1), part, F.slice(whole, k + 4, F.lit(1 << 30))))
@@ -166,7 +172,7 @@ def fold(start: Column, entries: Column, shift: Column, long: int = LONG) -> Col
                 new = _let(F.flatten(F.slice(s["blocks"], k, F.lit(4))), lambda q: blocks(merge(q, F.array_min(s["least"])), size))
                 return _let(with_least(new), lambda n: F.struct(
                     replaced(s["blocks"], k, n["blocks"]).alias("blocks"), replaced(s["least"], k, n["least"]).alias("least")
-                ).cast(kind))
+                ))
 
             first = F.greatest(F.lit(1), F.array_position(s["least"], F.array_min(s["least"])).cast("int") - 1)
             return F.when(F.array_min(s["least"]) < F.lit(1 << _NONE), _let(first, at)).otherwise(s)
@@ -176,11 +182,50 @@ def fold(start: Column, entries: Column, shift: Column, long: int = LONG) -> Col
     def in_blocks(size: Column) -> Column:
         return F.flatten(F.aggregate(start, with_least(blocks(start, size)), block_step(size))["blocks"])
 
+    def in_windows(width: int) -> Column:
+        """The state, if windows agree on ends of pieces; else null."""
+        size, half = F.size(start), width // 2
+        # The last window's result stands apart from out, since _let() copies what it returns.
+        kind = "struct<last:struct<at:int,before:array<int>,part:array<bigint>>,out:array<array<bigint>>>"
+
+        def stepped(s: Column, _: Column) -> Column:
+            at, before = s["last"]["at"], s["last"]["before"]
+
+            def of_window(w: Column) -> Column:
+                last = F.array(F.element_at(w, -1).bitwiseAND(_ID) + F.lit(_LAST))
+                alone = F.flatten(F.array(F.slice(w, F.lit(1), F.size(w) - 1), last))
+                return _let(_let(alone, lambda q: F.aggregate(q, q, step)), with_ends)
+
+            def with_ends(q: Column) -> Column:
+                sizes = F.transform(q, lambda x: F.get(lengths, x.bitwiseAND(_ID).cast("int")))
+                ends = _let(sizes, lambda z: F.transform(z, lambda _, i: F.aggregate(F.slice(z, F.lit(1), i + 1), at, lambda a, b: a + b)))
+                return _let(ends, lambda e: cut(q, e))
+
+            def cut(q: Column, ends: Column) -> Column:
+                agreed = F.filter(ends, lambda e: ((e <= at + half) | (e == size)) & ((at == 0) | F.array_contains(before, e)))
+                # Without a common end it stops behind the end.
+                return _let(F.coalesce(F.array_max(agreed), size + 1), lambda to: F.struct(
+                    to.alias("at"), ends.alias("before"), F.slice(q, F.lit(1), F.array_position(ends, to).cast("int")).alias("part")
+                ))
+
+            # slice() would go through the whole word.
+            part = F.transform(F.sequence(F.lit(0), F.least(size - at, F.lit(width)) - 1), lambda i: F.get(start, at + i))
+            return F.when(at < size, F.struct(_let(part, of_window).alias("last"), F.array_append(s["out"], s["last"]["part"]).alias("out"))).otherwise(s)
+
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"), F.array().cast("array<bigint>").alias("part"))
+        begin = F.struct(none.alias("last"), F.array().cast("array<array<bigint>>").alias("out")).cast(kind)
+        steps = F.sequence(F.lit(1), F.floor(size * 8 / width).cast("int") + 8)
+        return F.aggregate(steps, begin, stepped, lambda s: F.when(s["last"]["at"] == size, F.flatten(F.array_append(s["out"], s["last"]["part"]))))
+
     root = F.greatest(F.lit(64), F.floor(F.sqrt(F.size(start).cast("double")) / 2).cast("int"))
-    ids = F.when(F.size(start) <= long, F.aggregate(start, start, step)).when(F.size(start) > long, _let(root, in_blocks))
+    ids = F.when(F.size(start) <= long, F.aggregate(start, start, step)).when(F.size(start) > long, F.coalesce(in_windows(window), in_windows(8 * window), _let(root, in_blocks)))
     return F.transform(ids, lambda x: x.bitwiseAND(_ID).cast("int"))
 
 
+#: What encode() can return of a text.
+OUTPUTS: dict[str, T.DataType] = {"ids": T.ArrayType(T.IntegerType()), "count": T.LongType(), "written": T.StringType(), "decoded": T.BinaryType()}
+
+
 class ByteBpe:
     """An encoder and decoder for one file of ranks and one pattern."""
 
@@ -203,16 +248,18 @@ class ByteBpe:
                 self.whole[k.decode("utf-8")] = v
             except UnicodeDecodeError:
                 continue
-        self.pieces = [""] * (most + 1)
+        self.pieces = [b""] * (most + 1)
         for k, v in ranks.items():
-            self.pieces[v] = k.hex()
+            self.pieces[v] = k
 
     def encode(
-        self, df: DataFrame, text_col: str = "text", out_col: str = "ids", *, drop: tuple[str, ...] = (),
-        most_words: int = MOST_WORDS, chunk: int = CHUNK, long: int = LONG,
+        self, df: DataFrame, text_col: str = "text", out: dict[str, str] | None = None, *, drop: tuple[str, ...] = (),
+        most_words: int = MOST_WORDS, chunk: int = CHUNK, long: int = LONG, window: int = WINDOW,
     ) -> DataFrame:
-        """df with the ids of each text, an array<int>, and without the columns of drop."""
-        kept = [c for c in df.columns if c not in (out_col, *drop)]
+        """df without the columns of drop and with those of out, by name what they hold of a text (OUTPUTS): its ids (the
+        default, as "ids"), their count, the ids written as decimal numbers with commas between, or the bytes decoded from the ids."""
+        out = out or {"ids": "ids"}
+        kept = [c for c in df.columns if c not in (*out, *drop)]
         row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
         cut = df.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
         schema = T.StructType([
@@ -221,20 +268,46 @@ class ByteBpe:
             T.StructField("place", T.IntegerType()),
             T.StructField("start", T.ArrayType(T.LongType())),
         ])
-        numbered = cut.mapInArrow(_numbering(self.whole, self.pattern, self.bytes, self.pairs, most_words, chunk), schema)
+        numbered = cut.mapInArrow(lean(_numbering(self.whole, self.pattern, self.bytes, self.pairs, most_words, chunk)), schema)
         # Optimised to literals, which are named once.
         entries, shift = (F.from_json(F.lit(json.dumps(x.tolist())), "array<long>") for x in (self.pairs.entries, self.pairs.shift))
+        lengths = F.from_json(F.lit(json.dumps([len(x) for x in self.pieces])), "array<int>")
         start = F.col("start")
+
+        def of_word(e: Column) -> Column:
+            return _let(shift, lambda s: _let(lengths, lambda n: fold(start, e, s, n, long, window)))
+
         folded = numbered.select(
-            "row", "numbers", "place", F.when(start.isNotNull(), _let(entries, lambda e: _let(shift, lambda s: fold(start, e, s, long)))).alias("ids")
+            "row", "numbers", "place", F.when(start.isNotNull(), _let(entries, of_word)).alias("ids")
         )
         fields = [T.StructField(f.name, f.dataType) for f in cut.schema["row"].dataType.fields] if kept else []
-        return folded.mapInArrow(_joining([*kept, out_col]), T.StructType([*fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
+        fields += [T.StructField(c, OUTPUTS[what]) for c, what in out.items()]
+        tables = {what: self._table(what) for what in ("written", "decoded") if what in out.values()}
+        return folded.mapInArrow(lean(_joining(kept, out, tables, chunk)), T.StructType(fields))
+
+    def _table(self, what: str) -> tuple[list[bytes], bytes]:
+        """What stands for each id, and between two of them."""
+        return ([str(i).encode() for i in range(len(self.pieces))], b",") if what == "written" else (self.pieces, b"")
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids; an id of no token has none."""
-        pieces = F.from_json(F.lit(json.dumps(self.pieces)), "array<string>")
-        return _let(pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
+        pieces, between = self._table("decoded")
+
+        @F.arrow_udf("binary")
+        def decoded(some: pa.Array) -> pa.Array:
+            return pc.if_else(some.is_valid(), concatenated(some, pa.array(pieces, pa.binary()), between), None)
+
+        return decoded(ids)
+
+
+def concatenated(ids: pa.ListArray, pieces: pa.Array, between: bytes) -> pa.Array:
+    """The pieces of each list of ids, joined."""
+    flat = ids.flatten()
+    if flat.null_count or len(flat) and not 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < len(pieces):
+        flat = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces))), flat, None)
+    parts = pieces.take(flat)
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(ends, pc.fill_null(parts, b"") if parts.null_count else parts), between)
 
 
 def _numbering(whole: dict[str, int], pattern: str, first: np.ndarray, pairs: PairTable, most_words: int, chunk: int):
@@ -264,40 +337,42 @@ def _numbering(whole: dict[str, int], pattern: str, first: np.ndarray, pairs: Pa
         n = len(rows)
         return pa.RecordBatch.from_arrays([rows, pa.array(numbers, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names)
 
+    class Known(dict):
+        """Numbers of words: a new one gets the next place."""
+
+        def __init__(self) -> None:
+            super().__init__(whole)
+            self.met: list[str] = []
+
+        def __missing__(self, word: str) -> int:
+            self.met.append(word)
+            n = self[word] = -len(self.met)
+            return n
+
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        known = dict(whole)
-        met = told = held = 0  # words met, those of them told of, words of documents that wait
-        new: list[bytes] = []
+        known = Known()
+        told = held = 0  # words told of, words of documents that wait
         for batch in batches:
             rows, begin, numbers = batch.column("row"), 0, []
             texts = batch.column("text")
             for i in range(len(texts)):
-                words = find((texts[i].as_py() or b"").decode("utf-8", "replace"))
-                at = list(map(known.get, words))
-                if None in at:
-                    for k, n in enumerate(at):
-                        if n is None:
-                            n = known.get(words[k])
-                            if n is None:
-                                met += 1
-                                known[words[k]] = n = -met
-                                new.append(words[k].encode())
-                            at[k] = n
+                at = list(map(known.__getitem__, find((texts[i].as_py() or b"").decode("utf-8", "replace"))))
                 numbers.append(np.array(at, np.int32).tobytes())
                 held += len(at)
-                if held >= chunk or met >= most_words or i + 1 == len(texts):
-                    yield from of_words(new, told, rows.type)
+                full = len(known.met) >= most_words
+                if held >= chunk or full or i + 1 == len(texts):
+                    yield from of_words([w.encode() for w in known.met[told:]], told, rows.type)
                     yield of_documents(rows.slice(begin, i + 1 - begin), numbers)
-                    begin, numbers, new, held, told = i + 1, [], [], 0, met
-                    if met >= most_words:
-                        known, met, told = dict(whole), 0, 0
+                    begin, numbers, held, told = i + 1, [], 0, len(known.met)
+                    if full:
+                        known, told = Known(), 0
 
     return numbered
 
 
-def _joining(names: list[str]):
-    """An Arrow step from rows of words (place, ids) and of documents (row, numbers) to documents with ids."""
+def _joining(kept: list[str], out: dict[str, str], tables: dict[str, tuple[list[bytes], bytes]], chunk: int):
+    """An Arrow step from rows of words (place, ids) and of documents (row, numbers) to documents with ids and what out says."""
 
     class Words:
         """The ids of words by place."""
@@ -334,6 +409,16 @@ def _joining(names: list[str]):
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
+        stands = {what: (pa.array(pieces, pa.binary()), between) for what, (pieces, between) in tables.items()}
+
+        def cell(ids: pa.ListArray, what: str) -> pa.Array:
+            if what == "ids":
+                return ids
+            if what == "count":
+                return pc.cast(pc.list_value_length(ids), pa.int64())
+            made = concatenated(ids, *stands[what])
+            return pc.cast(made, pa.string()) if what == "written" else made
+
         for batch in batches:
             place = pc.fill_null(batch.column("place"), -1).to_numpy(zero_copy_only=False)
             # Runs of words and of documents, and a new one where words are forgotten.
@@ -346,8 +431,18 @@ def _joining(names: list[str]):
                     if place[a] == 0:
                         words = Words()
                     words.add(part.column("ids"))
-                else:
-                    kept = part.column("row").flatten() if len(names) > 1 else []
-                    yield pa.RecordBatch.from_arrays([*kept, words.of(part.column("numbers"))], names)
+                    continue
+                rows, numbers = part.column("row"), part.column("numbers")
+                for lo, hi in _slices(pc.binary_length(numbers).to_numpy(zero_copy_only=False) // 4, chunk):
+                    ids = words.of(numbers.slice(lo, hi - lo))
+                    cells = rows.slice(lo, hi - lo).flatten() if kept else []
+                    yield pa.RecordBatch.from_arrays([*cells, *(cell(ids, what) for what in out.values())], [*kept, *out])
 
     return joined
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbours whose sizes come to about most."""
+    group = np.cumsum(sizes) // most
+    cuts = (np.flatnonzero(np.diff(group)) + 1).tolist()
+    return zip([0, *cuts], [*cuts, len(sizes)], strict=True)

@@ -29,7 +29,9 @@ URL_RULES = [
     Rule("net", "/es/", "block"),
     Rule("net", "/fr/", "block"),
 ]
-BLOCKED_DOMAINS = ["spam-farm.example.org"]
+# Domains of bad repute under three top-level domains, and a list of 10,000 more.
+BAD_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+BLOCKED_DOMAINS = [f"{name}.example.{top}" for name in BAD_NAMES for top in ("com", "net", "org")] + [f"listed{i}.example" for i in range(10_000)]
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +59,9 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(documents: DataFrame) -> DataFrame:
     bpe = ByteBpe(load_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
-    ids = bpe.encode(documents.select("doc_id", "text"), "text", "ids", drop=("text",))
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    told = {"n_tokens": "count", "ids": "written", "decoded": "decoded"}
+    return bpe.encode(documents.select("doc_id", "text"), "text", told, drop=("text",)).select(
+        "doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
     )
 
 
@@ -125,7 +124,7 @@ WITH rows AS (
 sized AS (
   SELECT *, length(role) + length(text) + 17 AS plain,
     len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')) AS escapes,
-    (contains(text, '</s>') OR contains(role, '</s>') OR contains(role, '[/INST]'))::INT AS clash FROM rows)
+    regexp_matches(role || chr(0) || text, '</s>|\\[/?INST\\]')::INT AS clash FROM rows)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
@@ -148,7 +147,8 @@ judged AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM parts)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN host = 'spam-farm.example.org' OR host LIKE '%.spam-farm.example.org' THEN 'block' ELSE 'allow' END AS verdict
+  WHEN regexp_matches(host, '(^|[.])(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.](com|net|org)$')
+    OR regexp_matches(host, '(^|[.])listed([0-9]|[1-9][0-9]{1,3})[.]example$') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged"""
 
 
