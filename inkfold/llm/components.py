@@ -1,7 +1,7 @@
 """Connected components of a graph given as a table of edges, by alternating star contractions.
 
 Every round is two aggregations and two joins; a hub of any degree is pre-aggregated before the shuffle, and
-the joins' hot keys can be split by AQE. No neighbour list is ever collected.
+its neighbours are kept out of the join's shuffle. No neighbour list is ever collected.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import materialise, release
+from inkfold.llm.common import label_join, materialise, release
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -36,12 +36,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             now.select(F.col("v").alias("x"), F.col("u").alias("y"))
         )
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        # Large star: every larger neighbour is tied to the least vertex around x.
-        large = (
-            both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialise(
+            both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("copies")).select("x", F.least("x", "m").alias("m"), "copies")
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Large star: every larger neighbour is tied to the least vertex around x, which may have very many.
+        large = label_join(both.where("y > x"), least, ["x"]).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        held, least = least, large.groupBy("u").agg(F.min("v").alias("m"))
         # Small star: the smaller neighbours of u, and u itself, are tied to the least of them.
         small = (
             large.join(least, "u")
@@ -52,6 +52,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         then = materialise(small)
         release(now)
+        release(held)
         now = then
     else:
         raise RuntimeError(f"no convergence after {max_rounds} rounds")

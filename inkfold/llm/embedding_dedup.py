@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkfold.llm.common import label_join, materialise, sized_join
 from inkfold.llm.components import connected_components
@@ -63,6 +64,11 @@ def _hash(vectors: np.ndarray, dim: int, tables: int, bits: int, width: float, s
     return keys ^ (keys >> 29)
 
 
+def normalised(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _local_roots(links: np.ndarray) -> np.ndarray:
     """The least index reachable in a symmetric boolean matrix of links."""
     n = len(links)
@@ -90,6 +96,9 @@ def near_vectors(
     seed: int = 20,
 ) -> DataFrame:
     """A row for each row of df: id, n_links long, component_id long, kept boolean."""
+    # Floats are sent as floats, which holds them exactly.
+    kind = df.schema[vector_col].dataType
+    sent = np.float32 if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else np.float64
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = (
         F.col("id").isNotNull()
@@ -120,10 +129,8 @@ def near_vectors(
 
     def of_length(b: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
         x = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        keys = _hash(x, dim, tables, bits, width, seed)
-        raw, all_keys = [r.tobytes() for r in x], [r.tobytes() for r in keys]
+        keys = _hash(normalised(x), dim, tables, bits, width, seed)
+        raw, all_keys = [r.tobytes() for r in x.astype(sent)], [r.tobytes() for r in keys]
         step = max(1, 20_000 // tables)
         for lo in range(0, b.num_rows, step):
             hi = min(b.num_rows, lo + step)
@@ -170,7 +177,7 @@ def near_vectors(
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if b - a < 2:
                     continue
-                x = fixed_binary(rows.slice(a, b - a), "x", np.float64, int(dims[a]))
+                x = normalised(fixed_binary(rows.slice(a, b - a), "x", sent, int(dims[a])).astype(np.float64))
                 links = x @ x.T >= threshold
                 np.fill_diagonal(links, False)
                 if lo[a] != hi[a]:  # pairs inside a block are compared in that block's own task
