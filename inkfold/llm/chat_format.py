@@ -5,18 +5,19 @@ Grammar (level is one digit)::
     conversation = "<s" level ">" turn*
     turn         = "[INST]" role "[/INST]" text "</s>"
 
-The parser is deterministic: it cuts the body at each "</s>", and each turn at its first "[/INST]". A conversation
-is rendered as it is (level 0), parsed and compared with its source. Where the turns differ, because texts or
-roles hold control strings, it is rendered again with those escaped (level 1), parsed and compared. Level 1 puts
+The parser is deterministic: it cuts the body at each "</s>", and each turn at its first "[/INST]"; a role or text with a
+control string left in it is no turn. A conversation is rendered as it is (level 0), parsed and compared with its source.
+Where the turns differ, because texts or roles hold control strings, it is rendered again with those escaped (level 1), parsed and compared. Level 1 puts
 one backslash after the first character of each control string, and of each that has backslashes
 there already; taking one away restores the text, and no escaped text holds a control string. A
 conversation that still differs makes the query fail rather than be stored wrongly.
 
-A conversation is one row of the output, so its turns meet in one task, as they must.
+A conversation is one row of the output, so its turns meet in one task, as they must; work grows with its length, but
+for the list of spans, which is copied for each of them.
 
-Nulls: a null role or text is empty. Turns are ordered by turn, then role, then text; null turns come first.
-Repeated rows are turns of their own. Rows with a null id are one conversation. An empty table gives an empty
-result.
+Nulls: a null role or text is empty. Turns are ordered by turn, then role, then text, which settles ties; null turns come
+first. Repeated rows are turns of their own. Rows with a null id are one conversation. Texts of any length and any number
+of turns are formatted whole. Other columns aren't read, so their names don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def _level(formatted: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a rendered conversation: array of (role, text)."""
+    """The turns of a rendered conversation: array of (role, text), null for what is no turn."""
     pieces = F.split(F.substring(formatted, 5, 2**31 - 1), END)
     escaped = _level(formatted) == "1"
 
@@ -56,10 +57,11 @@ def parse(formatted: Column) -> Column:
         at = F.instr(piece, CLOSE)
         role = F.substring(piece, F.lit(len(OPEN) + 1), at - len(OPEN) - 1)
         text = F.substring(piece, at + len(CLOSE), F.length(piece))
-        return F.struct(
+        clean = ~(F.contains(role, F.lit(OPEN)) | F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)))
+        return F.when(clean, F.struct(
             F.when(escaped, unescape(role)).otherwise(role).alias("role"),
             F.when(escaped, unescape(text)).otherwise(text).alias("text"),
-        )
+        ))
 
     # Behind the last END there is an empty piece.
     return F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn)

@@ -12,7 +12,10 @@ one run of correction bits: valid scans of fixed width, which numpy reads and wr
 take the general path of the reader, symbol by symbol.
 
 Nulls: a null media value gives null results; a broken file raises ValueError, or gives nulls where the caller
-asks for that. A null text is stored as an empty one. Rows are handled one by one.
+asks for that. A null text is stored as an empty one, which is one unit of padding; so equal texts, null and empty ones
+too, have equal files. Rows are handled one by one, so ties and repeated rows don't matter. A text of any length is one file,
+which one task holds with its coefficients. Stored are an id and a text, whatever other columns there are; read_images()
+keeps all columns but one named image, which is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations

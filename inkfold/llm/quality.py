@@ -37,7 +37,7 @@ from inkfold.llm.common import label_join, materialise
 from inkfold.llm.minhash_dedup import _IN_WORD, _word_hashes
 
 #: Fitted on at most so many labelled documents.
-MAX_LABELLED = 8_000
+MAX_LABELLED = 3_000
 #: Buckets of hashed n-grams: four bytes in the first half, words in the second.
 BUCKETS = 1 << 14
 #: Bytes of texts that are looked at together.
@@ -196,7 +196,7 @@ def fitted(labelled: DataFrame) -> Model | None:
     kind = labelled.schema["id"].dataType.simpleString()
     rows = labelled.select("id", F.col("text").cast("binary").alias("text"), F.col("y").cast("int").alias("y")).mapInArrow(counted, f"id {kind}, y int, shares array<double>, at binary, x binary")
     held = rows.orderBy(F.xxhash64("id"), "id", "y", "at", "x").collect()
-    made = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["x"], np.float32).astype(np.float64)) for r in held]
+    made = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["x"], np.float32)) for r in held]
     return fit(np.array([r["shares"] for r in held]).reshape(-1, len(FEATURES)), made, np.array([r["y"] for r in held], np.float64))
 
 

@@ -65,3 +65,28 @@ def test_mixing_has_the_limit_of_op10(spark):
     rows = [(i, "large", "a b c d " * 10) for i in range(190)] + [(1000 + i, f"s{i % 19}", "a b c d " * 10) for i in range(380)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert corpus_pipeline.mixing(spark, docs, SF).count() == mix(docs).count() > mix(docs, max_epochs=1.25).count()
+
+
+def test_edges(spark, tmp_path):
+    """Nulls, empty texts, repeated ids, clashing names and an empty table go through all stages."""
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", "a"), (2, text + " more", "en", "a"), (2, "", None, "b"), (3, None, None, None), (4, "  ", "en", "b"), (None, text, "en", "a"), (5, "x " * 50_000, "de", "c"), (6, text, "en", None), (6, text, "en", None)]
+    names = ["__own", "__site", "own", "kept", "gone", "mix_s", "whole", "cut", "rep", "key", "row", "ids", "copies"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("int"))
+    docs = docs.withColumns({c: F.lit(c) for c in names})
+    for source, want in ((docs, [(None, True), (1, True), (2, False), (3, False), (4, True), (5, True)]), (docs.limit(0), [])):
+        now = source
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, SF)
+            path = str(tmp_path / f"{len(want)}-{i}")
+            now.write.parquet(path)
+            now = spark.read.parquet(path)
+            if i == 1:
+                left = {(r.doc_id, bool(r.text)) for r in now.collect()}
+                assert left <= set(want) and (not want or (1, True) in left)
+                assert all(r[c] == c for r in now.collect() for c in names)
+            assert i == 3 or now.columns == docs.columns
+        ids = [r.doc_id for r in now.collect()]
+        assert (set(ids) <= {None, 1, 2, 3, 4, 5}) and bool(ids) == bool(want)
