@@ -1,4 +1,8 @@
-"""A corpus pipeline of four operators: quality, near-duplicates, mixing, encoding."""
+"""A corpus pipeline of four operators: quality, near-duplicates, mixing, encoding.
+
+Nulls: rows with a null id or text, and empty texts, pass as each operator says; a null id is near nothing. Repeated rows stay
+rows. Columns of any other name stay up to the last stage. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import materialise, sized_join, table
+from inkfold.llm.common import fresh, materialise, sized_join, table
 from inkfold.llm.minhash_dedup import near_texts
 from inkfold.llm.mixing import mix
 from inkfold.llm.quality import good_documents
@@ -23,9 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; five words a shingle."""
-    gone = materialise(near_texts(docs, shingle_words=5, percent=80).where("not kept").select("doc_id").distinct())
-    return sized_join(docs, gone, "doc_id", "left_anti")
+    """Of each group of near-duplicates the document with the smallest id stays; five words a shingle.
+
+    Texts without words are near nothing and stay, whatever other rows their id has."""
+    gone = near_texts(docs, shingle_words=5, percent=80).where("not kept and n_shingles > 0").select("doc_id").distinct()
+    mark = fresh(docs, "gone")
+    marked = sized_join(docs, materialise(gone.withColumn(mark, F.lit(True))), "doc_id", "left")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return marked.where(F.col(mark).isNull() | ~has_words).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
