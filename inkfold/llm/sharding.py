@@ -8,9 +8,9 @@ within ``tolerance`` of a shard. A round moves one row for each part of an inter
 exchanged once, by piece (a shard has several pieces, so a task never holds a whole shard), and numbered.
 
 A cut's key is the smallest one at which the running sum of bytes reaches the target. Where this cut would part a group
-of equal texts that has no more bytes than the largest row or ``slack`` of a shard, it moves to the nearer end of
-the group; larger groups are parted, and their rows say so in ``group_split``. So a shard differs from the mean by less
-than two such groups and a row (with tolerance 0).
+of equal texts that has no more bytes than ``slack`` of a shard or a quarter of the largest row, it moves to the nearer end of the group; larger groups
+are parted, and their rows say so in ``group_split``. So a shard differs from the mean by less than such a group
+and the largest row (with tolerance 0).
 
 Nulls: a null text has no bytes (its row's size is the 16 of overhead) and the key of the empty text; null ids
 are rows like others. Rows with the same id and text are told apart by their place in the table. Ties of the key are
@@ -118,7 +118,7 @@ def shard(
     shards: int = 40,
     pieces: int | None = None,
     tolerance: float = 0.0,
-    slack: float = 0.01,
+    slack: float = 0.04,
 ) -> DataFrame:
     """(id, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, group_split boolean) for each row of df.
 
@@ -141,7 +141,7 @@ def shard(
     parted: list[int] = []
     if ends:
         at = list(range(pieces - 1, len(ends), pieces))
-        moved, parted = at_group_ends(keyed, [ends[i] for i in at], max(whole["most"], int(slack * whole["bytes"] / shards)))
+        moved, parted = at_group_ends(keyed, [ends[i] for i in at], max(whole["most"] // 4, int(slack * whole["bytes"] / shards)))
         for i, (a, b) in enumerate(zip([-1, *moved], [*moved, 2**63 - 1], strict=True)):
             # Cuts within a shard stay between its ends.
             inner = range(i * pieces, min(len(ends), (i + 1) * pieces - 1))
