@@ -48,7 +48,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/inkfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Unlike the default codec's, its buffers don't stay with the executors.
+    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._inkfold_path = path
