@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkfold.llm.common import lean
+from inkfold.llm.common import lean, small_batches
 
 #: A task holds about so many words that aren't tokens, some 0.1 GB, and so many words of documents.
 MOST_WORDS, CHUNK = 1 << 19, 1 << 17
@@ -259,6 +259,7 @@ class ByteBpe:
         """df without the columns of drop and with those of out, by name what they hold of a text (OUTPUTS): its ids (the
         default, as "ids"), their count, the ids written as decimal numbers with commas between, or the bytes decoded from the ids."""
         out = out or {"ids": "ids"}
+        small_batches(df.sparkSession)
         kept = [c for c in df.columns if c not in (*out, *drop)]
         row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
         cut = df.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))

@@ -5,13 +5,19 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.plans.shared import BROADCAST_ROWS, label_join, materialise, release, sized_join
 
-__all__ = ["BROADCAST_ROWS", "fresh", "label_join", "lean", "materialise", "octets", "release", "sized_join", "table"]
+__all__ = ["BROADCAST_ROWS", "fresh", "in_parts", "label_join", "lean", "materialise", "octets", "release", "settle", "sized_join", "small_batches", "table"]
+
+
+#: An Arrow batch has about so many bytes at most.
+ARROW_BYTES = 4 << 20
 
 
 def octets(text: Column) -> Column:
@@ -35,14 +41,34 @@ def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     """An Arrow step that gives its memory back to the system: Spark keeps its process for a minute or the next task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())
+        settle()
         yield from step(batches)
-        trim()
+        settle()
 
     return run
 
 
-def trim() -> None:
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send Arrow batches of at most ARROW_BYTES, unless it has a setting of its own. The default of 64 MB is
+    held several times for each step of a task, in the JVM and in Python. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(key, ARROW_BYTES)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in parts with about so many bytes in a column of texts or bytes, so that little is held at once."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b[name]), 0).to_numpy(zero_copy_only=False)
+        cuts = (np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
+def settle() -> None:
+    """Gives what is free back to the system, now and for Arrow from now on."""
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

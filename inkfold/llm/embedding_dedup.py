@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkfold.llm.common import label_join, materialise, sized_join
+from inkfold.llm.common import label_join, lean, materialise, sized_join, small_batches
 from inkfold.llm.components import connected_components
 from inkfold.llm.runs import column, fixed_binary, key_runs, run_starts
 
@@ -96,6 +96,7 @@ def near_vectors(
     seed: int = 20,
 ) -> DataFrame:
     """A row for each row of df: id, n_links long, component_id long, kept boolean."""
+    small_batches(df.sparkSession)
     # Floats are sent as floats, which holds them exactly.
     kind = df.schema[vector_col].dataType
     sent = np.float32 if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else np.float64
@@ -149,7 +150,7 @@ def near_vectors(
             )
 
     buckets = classes.select("rep", "copies", "v").mapInArrow(
-        hashed, "dim int, tab int, bucket long, rep long, copies long, x binary, all_keys binary"
+        lean(hashed), "dim int, tab int, bucket long, rep long, copies long, x binary, all_keys binary"
     )
     # How large each bucket is, from the keys alone; a bucket of one compares nothing.
     sizes = materialise(buckets.groupBy("dim", "tab", "bucket").count().where("count > 1"))
@@ -197,7 +198,7 @@ def near_vectors(
                 yield pa.record_batch([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(roots)], names=["rep", "n", "root"])
 
     found = materialise(
-        dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compared, "rep long, n long, root long")
+        dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(compared), "rep long, n long, root long")
         .groupBy("rep", "root").agg(F.sum("n").alias("n"))
     )
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(_of_one_id(sound_rows, classes))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import label_join, materialise, release, sized_join
+from inkfold.llm.common import in_parts, label_join, lean, materialise, release, sized_join, small_batches
 from inkfold.llm.components import connected_components
 from inkfold.llm.runs import column, fixed_binary, key_runs, run_starts
 
@@ -141,7 +141,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     """(id long, n_shingles long, hi long, lo long, sig binary): hi and lo name the set, sig is null if empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, "text"):
             sizes, hi, lo, sigs = [], [], [], []
             for s in shingle_sets(b["text"].to_pylist(), words):
                 sizes.append(len(s))
@@ -155,7 +155,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             )
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "id long, n_shingles long, hi long, lo long, sig binary")
+    return rows.mapInArrow(lean(sign), "id long, n_shingles long, hi long, lo long, sig binary")
 
 
 def index_entries(sig: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def _entries(classes: DataFrame) -> DataFrame:
                     [pa.array(keys.ravel()), pa.array(np.repeat(column(b, "rep"), SYMBOLS))], names=["entry", "rep"]
                 )
 
-    return classes.select("rep", "sig").mapInArrow(enter, "entry long, rep long")
+    return classes.select("rep", "sig").mapInArrow(lean(enter), "entry long, rep long")
 
 
 def _shared(entries: DataFrame, hot: list[int]) -> DataFrame:
@@ -221,7 +221,7 @@ def _shared(entries: DataFrame, hot: list[int]) -> DataFrame:
     def starred(rows: DataFrame) -> DataFrame:
         return (
             rows.repartition("entry", "part").sortWithinPartitions("entry", "part", "rep")
-            .mapInArrow(star, "entry long, part int, rep long, centre long")
+            .mapInArrow(lean(star), "entry long, part int, rep long, centre long")
         )
 
     if not hot:
@@ -241,14 +241,14 @@ def _full_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: i
     mine = materialise(sized_join(classes.select("rep", "least", "hi", "lo"), wanted, "rep", "left_semi"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, "text"):
             made = [s for s in shingle_sets(b["text"].to_pylist(), words)]
             names = [set_name(s) for s in made]
             cells = [pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)]
             yield pa.record_batch([*cells, pa.array([s.tobytes() for s in made], pa.binary())], names=["hi", "lo", "members"])
 
     ids = materialise(mine.select(F.col("least").alias("id")).distinct())
-    found = sized_join(texts, ids, "id", "left_semi").mapInArrow(sets, "hi long, lo long, members binary").where("octet_length(members) > 0")
+    found = sized_join(texts, ids, "id", "left_semi").mapInArrow(lean(sets), "hi long, lo long, members binary").where("octet_length(members) > 0")
     return sized_join(found, mine.select("rep", "hi", "lo"), ["hi", "lo"], "inner").select("rep", "members").dropDuplicates(["rep"])
 
 
@@ -286,7 +286,7 @@ def _stars(pairs: DataFrame, payload: DataFrame, check) -> DataFrame:
             if not (goes_on and len(starts) == 1):
                 held = b.slice(int(starts[-1]), 1)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "other").mapInArrow(checked, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "other").mapInArrow(lean(checked), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -396,7 +396,7 @@ def _left_open(shared: DataFrame, component: DataFrame, classes: DataFrame) -> D
 
     return (
         dealt.select(*keys, "own", "rep", "component", "sig").repartition(*keys).sortWithinPartitions(*keys)
-        .mapInArrow(tie, "a long, b long").distinct()
+        .mapInArrow(lean(tie), "a long, b long").distinct()
     )
 
 
@@ -439,7 +439,7 @@ def _links_across(
 
     dealt = _in_blocks(members, "cluster", SET_BLOCK).join(classes.select("rep", "sig"), "rep").join(full, "rep").select(*keys, "own", "rep", "component", "sig", "members")
     return materialise(
-        dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
+        dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(compare), "a long, b long").distinct()
     )
 
 
@@ -476,6 +476,7 @@ def near_texts(
     """
     if percent < 80:
         raise ValueError("the signature distance is made for a similarity of 0.8 or more")
+    small_batches(df.sparkSession)
     signed = materialise(signatures(df, id_col, text_col, shingle_words))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     filled = signed.where("n_shingles > 0 and id is not null")

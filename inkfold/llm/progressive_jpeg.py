@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.common import in_parts, lean, small_batches
+
 UNIT = 576
 
 #: Natural index of each place in zigzag order: along the anti-diagonals, turning at each.
@@ -487,7 +489,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(id, n_bytes long, media binary): each whole text, padded to a positive multiple of 576 bytes, as a file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, "text"):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"].to_pylist()]
             media = [write_payload(padded(x)) for x in raw]
             yield pa.record_batch(
@@ -495,9 +497,10 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 names=[id_col, "n_bytes", "media"],
             )
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(write, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return rows.mapInArrow(lean(write), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 def read_images(df: DataFrame, media_col: str = "media", *, broken_to_null: bool = False) -> DataFrame:
@@ -535,7 +538,7 @@ def media_digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """From store_texts(): what reading the stored bytes back gives, by row."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, "media"):
             cols: list[list] = [[] for _ in range(6)]
             for m in b["media"].to_pylist():
                 frame = read_coefficients(m)
@@ -557,7 +560,7 @@ def media_digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.mapInArrow(
-        digest,
+        lean(digest),
         f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, feature string",
     )

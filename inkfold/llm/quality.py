@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import label_join, materialise
+from inkfold.llm.common import label_join, lean, materialise, settle, small_batches
 from inkfold.llm.minhash_dedup import _IN_WORD, _word_hashes
 
 #: Fitted on at most so many labelled documents.
@@ -41,7 +41,7 @@ MAX_LABELLED = 3_000
 #: Buckets of hashed n-grams: four bytes in the first half, words in the second.
 BUCKETS = 1 << 14
 #: Bytes of texts that are looked at together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 EPOCHS, RATE = 6, 0.5
 
 UPPER, LETTER, SYMBOL, BAR, SHOUT, DIGIT = (np.uint8(1 << i) for i in range(6))
@@ -194,7 +194,7 @@ def fitted(labelled: DataFrame) -> Model | None:
             yield pa.record_batch([b["id"], b["y"], pa.array(shares, pa.list_(pa.float64())), pa.array(at, pa.binary()), pa.array(x, pa.binary())], names=["id", "y", "shares", "at", "x"])
 
     kind = labelled.schema["id"].dataType.simpleString()
-    rows = labelled.select("id", F.col("text").cast("binary").alias("text"), F.col("y").cast("int").alias("y")).mapInArrow(counted, f"id {kind}, y int, shares array<double>, at binary, x binary")
+    rows = labelled.select("id", F.col("text").cast("binary").alias("text"), F.col("y").cast("int").alias("y")).mapInArrow(lean(counted), f"id {kind}, y int, shares array<double>, at binary, x binary")
     held = rows.orderBy(F.xxhash64("id"), "id", "y", "at", "x").collect()
     made = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["x"], np.float32)) for r in held]
     return fit(np.array([r["shares"] for r in held]).reshape(-1, len(FEATURES)), made, np.array([r["y"] for r in held], np.float64))
@@ -208,6 +208,7 @@ def own_evidence(text: Column, model: Model | None) -> Column:
     @F.arrow_udf("double")
     def evidence(texts: pa.Array) -> pa.Array:
         made = [model.log_odds(t) for t in looked(v.as_py() or b"" for v in texts)]
+        settle()
         return pa.array(np.concatenate([*made, np.empty(0)]))
 
     return evidence(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
@@ -274,6 +275,7 @@ def _judged(
     rows: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, quality_col: str, max_labelled: int, threshold: float, drop: tuple[str, ...] = ()
 ) -> DataFrame:
     """rows(host, path, ...) without drop, with own, lift, probability and kept."""
+    small_batches(rows.sparkSession)
     truth = labels.where(F.col(quality_col).isin(0, 1)).select(F.col(label_id).alias("id"), F.col(quality_col).alias("y"))
     # Only the documents that the fit looks at get here with their texts.
     chosen = truth.orderBy(F.xxhash64("id"), "id", "y").limit(max_labelled)

@@ -57,10 +57,11 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bpe_digests(documents: DataFrame) -> DataFrame:
+def bpe_digests(documents: DataFrame, **limits: int) -> DataFrame:
+    """limits are those of ByteBpe.encode(), which change what a task holds but no result."""
     bpe = ByteBpe(load_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
     told = {"n_tokens": "count", "ids": "written", "decoded": "decoded"}
-    return bpe.encode(documents.select("doc_id", "text"), "text", told, drop=("text",)).select(
+    return bpe.encode(documents.select("doc_id", "text"), "text", told, drop=("text",), **limits).select(
         "doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
     )
 
