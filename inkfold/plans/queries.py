@@ -200,7 +200,7 @@ def template_iou_top1(spark, sf_dir):
     templates = e.groupBy(F.col("label").alias("template_id")).agg(F.min_by("bits", "vec_id").alias("bits"))
     best = matching.best_template(F.col("bits"), templates)
     found = e.select(F.col("vec_id").alias("grid_id"), best.alias("b")).where("b is not null")
-    return found.select("grid_id", "b.template_id", F.col("b.both").cast("long").alias("both"), F.col("b.either").cast("long").alias("either"))
+    return found.select("grid_id", F.col("b.template_id").cast("int").alias("template_id"), F.col("b.both").cast("long").alias("both"), F.col("b.either").cast("long").alias("either"))
 
 
 @query("""WITH c AS (SELECT l_returnflag, (l_quantity * 5)::INT AS level, count(*) AS n FROM lineitem GROUP BY 1, 2),
