@@ -114,6 +114,20 @@ class Template:
         return sorted(self.bigrams, key=lambda b: (common[b], -len(b), b))[: len(self.bigrams) - least + 1]
 
 
+def _cover(anchors: list[str], least: int = 5) -> list[str]:
+    """Words of at least so many letters such that each anchor holds one of them; an anchor without such a word stands for itself."""
+    left, chosen = list(anchors), []
+    while left:
+        counts: dict[str, int] = {}
+        for a in left:
+            for w in [w for w in a.split() if len(w) >= least] or [a]:
+                counts[w] = counts.get(w, 0) + 1
+        best = min(counts, key=lambda w: (-counts[w], -len(w), w))
+        chosen.append(best)
+        left = [a for a in left if best not in a.split() and best != a]
+    return chosen
+
+
 def _clean(text: Column) -> Column:
     # What is left has no other letters than A-Z and a-z.
     return F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
@@ -164,7 +178,8 @@ def scan_licenses(
             found = found | F.contains(words, F.lit(a))
         return found
 
-    possible = anchored(whole)
+    # Words of which each anchor has one are fewer than anchors.
+    possible = anchored(whole, _cover(anchors)) & anchored(whole)
     table = F.array(
         *[F.struct(F.lit(t.name).alias("name"), F.lit("alike" if t.name in ALIKE else t.name).alias("kind"), F.array(*map(F.lit, t.bigrams)).alias("bigrams"), F.lit(len(t.bigrams)).cast("long").alias("n")) for t in made]
     )
@@ -199,27 +214,35 @@ def scan_licenses(
 
         return F.flatten(F.transform(F.array(word_bigrams(p)), scored))
 
-    limits = [
-        F.when(anchored(whole, t.anchors(threshold, common)), math.floor(len(normalised(templates[t.name])) * (2_000_000 - per) / per + 1e-9)).otherwise(0)
-        for t in made
-    ]
+    def most_words(present: Column) -> Column:
+        """The words that a window may have: of the longest template that the text holds an anchor of."""
+        return F.array_max(F.array(*[
+            F.when(F.arrays_overlap(present, F.array(*map(F.lit, t.anchors(threshold, common)))), math.floor(len(normalised(templates[t.name])) * (2_000_000 - per) / per + 1e-9)).otherwise(0)
+            for t in made
+        ]))
+
+    def of_windows(x: Column) -> Column:
+        """(less int, words int, start int, end int, hit) for each window that reaches the threshold, from pieces(text, words),
+        the anchors that are present, and the most words."""
+        pieces, most = x["pieces"], x["most"]
 
-    def of_windows(pieces: Column, most: Column) -> Column:
-        """(less int, words int, start int, end int, hit) for each window that reaches the threshold."""
+        def joined(run: Column) -> Column:
+            return F.array_join(F.transform(run, lambda p: p["text"]), " ")
 
         def from_start(i: Column) -> Column:
             def of_run(run: Column) -> Column:
                 def longer(acc: Column, p: Column) -> Column:
-                    n = acc["words"] + F.size(F.split(p, " "))
+                    n = acc["words"] + p["words"]
                     return F.struct(n.alias("words"), (acc["fit"] + (n <= most).cast("int")).alias("fit"))
 
                 fit = F.aggregate(run, F.struct(F.lit(0).alias("words"), F.lit(0).alias("fit")), longer, lambda acc: acc["fit"])
-                near = anchored(F.call_function("substring_index", F.array_join(run, " "), F.lit(" "), most))
+                start = F.transform(F.array(F.call_function("substring_index", joined(run), F.lit(" "), most)), lambda w: F.exists(x["present"], lambda a: F.contains(w, a)))
+                near = F.element_at(start, 1)
                 ends = F.when(near, F.filter(F.transform(F.array(fit), lambda n: F.when(n >= 2, F.sequence(F.lit(2), n))), lambda e: e.isNotNull()))
                 return F.flatten(F.transform(F.flatten(F.coalesce(ends, F.array().cast("array<array<int>>"))), lambda k: of_window(run, k)))
 
             def of_window(run: Column, k: Column) -> Column:
-                hits = F.flatten(F.transform(F.array(F.array_join(F.slice(run, F.lit(1), k), " ")), of_passage))
+                hits = F.flatten(F.transform(F.array(joined(F.slice(run, F.lit(1), k))), of_passage))
                 return F.transform(
                     hits,
                     lambda h: F.struct(
@@ -247,8 +270,10 @@ def scan_licenses(
         return F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
 
     def with_windows(plain: Column) -> Column:
-        bound = F.array(F.struct(_pieces(text).alias("pieces"), F.array_max(F.array(*limits)).alias("most")))
-        windows = F.coalesce(F.flatten(F.transform(bound, lambda x: of_windows(x["pieces"], x["most"]))), no_windows)
+        present = F.array(F.filter(F.array(*map(F.lit, anchors)), lambda a: F.contains(whole, a)))
+        pieces = F.transform(_pieces(text), lambda p: F.struct(p.alias("text"), F.size(F.split(p, " ")).alias("words")))
+        bound = F.transform(present, lambda a: F.struct(pieces.alias("pieces"), a.alias("present"), most_words(a).alias("most")))
+        windows = F.coalesce(F.flatten(F.transform(bound, of_windows)), no_windows)
         wide = F.transform(F.aggregate(F.array_sort(windows), no_windows, apart), lambda w: w["hit"])
         new = F.filter(
             wide,
