@@ -19,6 +19,8 @@ from inkfold.llm.queries import bpe_digests
 
 #: No source's documents are used more than this many times as often as another's: the limit of op10.
 MAX_EPOCHS = 4.0
+#: A task of the last stage holds so many words; fewer than op5, as executors come to it with what other stages left.
+HELD_WORDS = 1 << 17
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The digests of each document's ids and of what they decode to."""
-    return bpe_digests(docs)
+    return bpe_digests(docs, most_words=HELD_WORDS, chunk=HELD_WORDS // 2)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
