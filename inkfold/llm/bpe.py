@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkfold.llm.common import lean, small_batches
+from inkfold.llm.common import lean, small_batches, trim
 
 #: A task holds about so many words that aren't tokens, some 0.1 GB, and so many words of documents.
 MOST_WORDS, CHUNK = 1 << 19, 1 << 17
@@ -251,6 +251,8 @@ class ByteBpe:
         self.pieces = [b""] * (most + 1)
         for k, v in ranks.items():
             self.pieces[v] = k
+        del cuts
+        trim()
 
     def encode(
         self, df: DataFrame, text_col: str = "text", out: dict[str, str] | None = None, *, drop: tuple[str, ...] = (),

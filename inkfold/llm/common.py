@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkfold.plans.shared import BROADCAST_ROWS, label_join, materialise, release, sized_join
 
-__all__ = ["BROADCAST_ROWS", "fresh", "in_parts", "label_join", "lean", "materialise", "octets", "release", "settle", "sized_join", "small_batches", "table"]
+__all__ = ["BROADCAST_ROWS", "fresh", "in_parts", "label_join", "lean", "materialise", "octets", "release", "settle", "sized_join", "small_batches", "table", "trim"]
 
 
 #: An Arrow batch has about so many bytes at most.
@@ -69,6 +69,11 @@ def in_parts(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 22)
 def settle() -> None:
     """Gives what is free back to the system, now and for Arrow from now on."""
     pa.set_memory_pool(pa.system_memory_pool())
+    trim()
+
+
+def trim() -> None:
+    """Gives what is free back to the system."""
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

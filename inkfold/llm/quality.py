@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import label_join, lean, materialise, settle, small_batches
+from inkfold.llm.common import label_join, lean, materialise, settle, small_batches, trim
 from inkfold.llm.minhash_dedup import _IN_WORD, _word_hashes
 
 #: Fitted on at most so many labelled documents.
@@ -197,7 +197,11 @@ def fitted(labelled: DataFrame) -> Model | None:
     rows = labelled.select("id", F.col("text").cast("binary").alias("text"), F.col("y").cast("int").alias("y")).mapInArrow(lean(counted), f"id {kind}, y int, shares array<double>, at binary, x binary")
     held = rows.orderBy(F.xxhash64("id"), "id", "y", "at", "x").collect()
     made = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["x"], np.float32)) for r in held]
-    return fit(np.array([r["shares"] for r in held]).reshape(-1, len(FEATURES)), made, np.array([r["y"] for r in held], np.float64))
+    shares, y = np.array([r["shares"] for r in held]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in held], np.float64)
+    model = fit(shares, made, y)
+    del held, made
+    trim()  # the driver's memory
+    return model
 
 
 def own_evidence(text: Column, model: Model | None) -> Column:
