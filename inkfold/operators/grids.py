@@ -1,4 +1,4 @@
-"""Grid operators over tables of cells, with DataFrame operations only.
+"""Grid operators over tables of cells, with DataFrame operations; components end in an Arrow step.
 
 cells is (grid_id, x, y): the inked cells; sizes is (grid_id, cols, rows). Work is spread by grid, and every
 aggregate is partial before its shuffle.
@@ -6,13 +6,21 @@ aggregate is partial before its shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from inkfold.operators.kernels import LINE_HIGH, LINE_LOW, MAX_SPECK, PUNCTUATION_HEIGHT, VALLEY_DEPTH, VALLEY_WINDOW
+from inkfold.operators.kernels import LINE_HIGH, LINE_LOW, MAX_SPECK, PUNCTUATION_HEIGHT, VALLEY_DEPTH, VALLEY_WINDOW, cell_components
 
 ID = "grid_id"
+#: An Arrow step labels about so many cells at once, or one larger grid.
+HELD_CELLS = 1 << 18
 
 
 def luma(r: Column, g: Column, b: Column, contrast: float = 0.0) -> Column:
@@ -210,28 +218,51 @@ def lower_right_stroke(cells: DataFrame) -> DataFrame:
     return ink.select(ID, F.coalesce((F.col("part") > 0) & (F.col("m") / F.nullif("part", F.lit(0)) >= F.col("n") / F.col("whole") * 0.6), F.lit(False)).alias("has_stroke"))
 
 
-def components(cells: DataFrame, diagonal: bool, max_rounds: int = 200) -> DataFrame:
+def _parts(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about HELD_CELLS, of which a row has so many as size says."""
+    for b in batches:
+        cuts = (np.flatnonzero(np.diff(np.cumsum(size(b)) // HELD_CELLS)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
+def _held(lists: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(row, x, y) of the cells in lists of them, which may be null."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    cells = lists.flatten()
+    return np.repeat(np.arange(len(n)), n), pc.struct_field(cells, "x"), pc.struct_field(cells, "y")
+
+
+def _longs(v: pa.Array) -> np.ndarray:
+    return pc.cast(v, pa.int64()).to_numpy(zero_copy_only=False)
+
+
+def _lists(cells: DataFrame) -> DataFrame:
+    """(grid_id, cells): a row for each grid with ink, so that a grid meets in one row whatever its id's type."""
+    return cells.where(F.col(ID).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(ID).agg(F.collect_list(F.struct("x", "y")).alias("cells"))
+
+
+def components(cells: DataFrame, diagonal: bool) -> DataFrame:
     """(grid_id, x, y, label): label is the raster place y * 2**20 + x of the component's first cell.
 
-    Least labels spread along rows, columns and diagonals by joins until nothing changes. This is for tables of
-    small grids and as a check; images go through the kernel of kernels.py.
+    Each grid's cells come together in one row and are labelled in one Arrow step, many grids at once; no rounds, joins or
+    tables between, and nothing goes to the driver. So a grid has to fit into a row (some ten million inked cells); images
+    go through labels() of kernels.py. A repeated cell is one cell. Cells of a null grid touch nothing.
     """
-    from inkfold.plans.shared import materialise
-
-    steps = [(1, 0), (-1, 0), (0, 1), (0, -1)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
-    offsets = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in [(0, 0), *steps]])
-    now = materialise(cells.select(ID, "x", "y", (F.shiftleft(F.col("y").cast("long"), 20) + F.col("x")).alias("label")))
-    for _ in range(max_rounds):
-        sent = now.withColumn("d", F.explode(offsets)).select(ID, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "label")
-        best = sent.groupBy(ID, "x", "y").agg(F.min("label").alias("least"))
-        near = now.join(best, [ID, "x", "y"])
-        # A label that heard of a smaller one takes it along everywhere.
-        hook = near.groupBy(ID, "label").agg(F.min("least").alias("root"))
-        then = materialise(now.join(hook, [ID, "label"]).select(ID, "x", "y", F.col("root").alias("label")))
-        if then.agg(F.sum("label")).first()[0] == now.agg(F.sum("label")).first()[0]:
-            return then
-        now = then
-    raise RuntimeError(f"no convergence after {max_rounds} rounds")
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, lambda b: pc.list_value_length(b["cells"]).to_numpy(zero_copy_only=False).astype(np.int64)):
+            row, x, y = _held(b["cells"])
+            xs, ys = _longs(x), _longs(y)
+            order, first = cell_components(row, xs, ys, diagonal)
+            at = pa.array(order)
+            yield pa.record_batch([b[ID].take(pa.array(row[order])), x.take(at), y.take(at), pa.array((ys[first] << 20) + xs[first])], names=[ID, "x", "y", "label"])
+
+    cells = cells.select(ID, "x", "y")
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in cells.schema], T.StructField("label", T.LongType())])
+    # Apart, as a null key would bring all of them to one task.
+    alone = cells.where(F.col(ID).isNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).distinct()
+    return _lists(cells).mapInArrow(label, schema).unionByName(alone.withColumn("label", F.shiftleft(F.col("y").cast("long"), 20) + F.col("x")))
 
 
 def component_boxes(labelled: DataFrame) -> DataFrame:
