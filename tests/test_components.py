@@ -57,3 +57,16 @@ def test_repeated_cells_and_null_grids(spark):
     got = sorted(map(tuple, grids.components(cells, True).collect()), key=str)
     at = 1 << 20
     assert got == sorted([("a", 0, 0, 0), ("a", 1, 1, 0), ("b", -3, 2, 2 * at - 3), ("b", -2, 2, 2 * at - 3), ("b", at - 1, 1, 2 * at - 1), (None, 1, 1, at + 1), (None, 2, 1, at + 2)], key=str)
+
+
+def test_boxes_of_components(spark):
+    made, cells = _made(spark)
+    before = _tables(spark)
+    got = sorted(map(tuple, grids.component_boxes(grids.components(cells, True)).collect()))
+    want = []
+    for i, g in made.items():
+        label = K.labels(g, True)
+        for (_, x0, y0, x1, y1), first in zip(K.boxes(label), np.unique(label[g]), strict=True):
+            ys, xs = np.nonzero(label == first)
+            want.append((i, (int(ys[0]) << 20) + int(xs[0]), x0, y0, x1 - x0, y1 - y0, len(xs)))
+    assert got == sorted(want) and _tables(spark) == before
