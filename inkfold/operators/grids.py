@@ -1,4 +1,4 @@
-"""Grid operators over tables of cells, with DataFrame operations; components end in an Arrow step.
+"""Grid operators over tables of cells, with DataFrame operations; components and enclosures end in an Arrow step.
 
 cells is (grid_id, x, y): the inked cells; sizes is (grid_id, cols, rows). Work is spread by grid, and every
 aggregate is partial before its shuffle.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from inkfold.operators.kernels import LINE_HIGH, LINE_LOW, MAX_SPECK, PUNCTUATION_HEIGHT, VALLEY_DEPTH, VALLEY_WINDOW, cell_components
+from inkfold.operators.kernels import LINE_HIGH, LINE_LOW, MAX_SPECK, PUNCTUATION_HEIGHT, VALLEY_DEPTH, VALLEY_WINDOW, cell_components, many_enclosures
 
 ID = "grid_id"
 #: An Arrow step labels about so many cells at once, or one larger grid.
@@ -272,13 +272,18 @@ def component_boxes(labelled: DataFrame) -> DataFrame:
 
 
 def enclosures(cells: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(grid_id, enclosures): holes of at least 3 cells and a hundredth of the grid, off the border."""
-    every = sizes.where("cols > 0 and rows > 0").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-    back = components(every.join(cells, [ID, "x", "y"], "left_anti").select(ID, "x", "y"), False)
-    edge = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("cols") - 1) | (F.col("y") == F.col("rows") - 1)
-    holes = back.join(sizes, ID).groupBy(ID, "label", (F.col("cols") * F.col("rows")).alias("area")).agg(F.count("*").alias("n"), F.max(edge).alias("edge"))
-    found = holes.where((F.col("n") >= 3) & (F.col("n") / F.col("area") >= 0.01) & ~F.col("edge")).groupBy(ID).agg(F.count("*").alias("k"))
-    return sizes.join(found, ID, "left").select(ID, F.coalesce("k", F.lit(0)).alias("enclosures"))
+    """(grid_id, enclosures): holes of at least 3 cells and a hundredth of the grid, off the border. A grid has to fit into a row."""
+    def counts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(_longs(pc.fill_null(b[c], 0)) for c in ("cols", "rows"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, lambda b: np.prod(counts(b), axis=0)):
+            row, x, y = _held(b["cells"])
+            yield pa.record_batch([b[ID], pa.array(many_enclosures(*counts(b), row, _longs(x), _longs(y)))], names=[ID, "enclosures"])
+
+    schema = T.StructType([T.StructField(ID, sizes.schema[ID].dataType), T.StructField("enclosures", T.LongType())])
+    # Never broadcast: lists of cells are larger than what is estimated from the files.
+    return sizes.select(ID, "cols", "rows").join(_lists(cells).hint("merge"), ID, "left").mapInArrow(count, schema)
 
 
 def valley_threshold(bins: DataFrame, key: str, at: str = "x", n: str = "n") -> DataFrame:

@@ -70,3 +70,22 @@ def test_boxes_of_components(spark):
             ys, xs = np.nonzero(label == first)
             want.append((i, (int(ys[0]) << 20) + int(xs[0]), x0, y0, x1 - x0, y1 - y0, len(xs)))
     assert got == sorted(want) and _tables(spark) == before
+
+
+def test_enclosures_equal_the_kernel(spark):
+    made, cells = _made(spark)
+    sizes = spark.createDataFrame([(i, g.shape[1], g.shape[0]) for i, g in made.items()], "grid_id long, cols int, rows int")
+    assert {r.grid_id: r.enclosures for r in grids.enclosures(cells, sizes).collect()} == {i: K.enclosures(g) for i, g in made.items()}
+
+
+def test_enclosures_broadcast_no_cells(spark):
+    cells = spark.createDataFrame([(1, 0, 0)], CELLS)
+    sizes = spark.createDataFrame([(1, 8, 8)], "grid_id long, cols int, rows int")
+    assert "Broadcast" not in grids.enclosures(cells, sizes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_enclosures_of_odd_grids(spark):
+    ring = [(k, x, y) for k in (1, 2) for x in range(5) for y in range(3) if not 1 <= x <= 3 or y != 1]
+    sizes = spark.createDataFrame([(1, 5, 3), (2, 5, 3), (2, 5, 3), (3, 0, 4), (4, None, 4), (None, 9, 9)], "grid_id int, cols int, rows int")
+    cells = spark.createDataFrame([*ring, *ring[:3], (1, 9, 1), (3, 0, 0)], "grid_id int, x int, y int")
+    assert sorted(map(tuple, grids.enclosures(cells, sizes).collect()), key=str) == sorted([(1, 1), (2, 1), (2, 1), (3, 0), (4, 0), (None, 0)], key=str)
