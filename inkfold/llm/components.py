@@ -2,14 +2,26 @@
 
 Every round is two aggregations and two joins; a hub of any degree is pre-aggregated before the shuffle, and
 its neighbours are kept out of the join's shuffle. No neighbour list is ever collected.
+
+Edges that were counted to be at most FEW_EDGES go through one task instead: rounds over few rows cost the driver more
+plans, threads and memory than the executors work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import label_join, materialise, release
+from inkfold.llm.common import label_join, lean, materialise, release
+from inkfold.llm.runs import column
+from inkfold.operators.kernels import roots
+
+#: One task takes so many edges (8 MB, and some ten times that while it works).
+FEW_EDGES = 500_000
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -21,7 +33,19 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
     return bad.where((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("hub") > 0))).isEmpty()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _of_few(edges: DataFrame) -> DataFrame:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack((column(b, "u"), column(b, "v"))) for b in batches]
+        if not held:
+            return
+        ids, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        u, v = at.reshape(2, -1)
+        yield pa.record_batch([pa.array(ids), pa.array(ids[roots(len(ids), u, v)])], names=["id", "component"])
+
+    return edges.coalesce(1).mapInArrow(lean(label), "id long, component long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """edges (a long, b long) -> (id long, component long), a row for each vertex with a neighbour.
 
     component is the smallest id reachable. Loops and null ends are ignored; directions and repeats don't
@@ -30,6 +54,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
+    if now.count() <= few:
+        return _of_few(now)
     for _ in range(max_rounds):
         if _is_forest_of_stars(now):
             break

@@ -186,7 +186,10 @@ def _entries(classes: DataFrame) -> DataFrame:
 
 
 def _shared(entries: DataFrame, hot: list[int]) -> DataFrame:
-    """(entry, part, rep, centre): members of entries that have at least two; hot entries are dealt in many parts."""
+    """(entry, part, rep, centre): members of entries that have at least two; hot entries are dealt in many parts.
+
+    The index is made once: its rows go through one exchange whether their entries are hot or not."""
+    known = np.sort(np.array(hot, np.int64))
     parts = F.when(F.col("entry").isin(hot), F.pmod(F.xxhash64("rep"), F.lit(SAMPLE))) if hot else F.lit(0)
     dealt = entries.withColumn("part", F.coalesce(parts, F.lit(0)).cast("int"))
 
@@ -201,7 +204,9 @@ def _shared(entries: DataFrame, hot: list[int]) -> DataFrame:
             lens = np.diff(np.append(starts, len(rep)))
             centre = np.repeat(rep[starts], lens)
             goes_on = first is not None and first[:2] == (entry[0], part[0])
-            keep = np.repeat(lens > 1, lens)
+            # A part of a hot entry may have one member, whose partners are in other parts: all of them stay.
+            many = np.isin(entry[starts], known)
+            keep = np.repeat((lens > 1) | many, lens)
             extra = []
             if goes_on:
                 centre[: lens[0]] = first[2]
@@ -210,7 +215,7 @@ def _shared(entries: DataFrame, hot: list[int]) -> DataFrame:
                     extra = [(first[0], first[1], first[2], first[2])]
             still = len(lens) == 1 and goes_on
             # A lone last member waits: its partner may come with the next batch.
-            alone = lens[-1] == 1 and not still
+            alone = lens[-1] == 1 and not still and not many[-1]
             first = first if still else (entry[-1], part[-1], int(rep[starts[-1]]))
             cols = [entry[keep], part[keep], rep[keep], centre[keep]]
             if extra:
@@ -218,19 +223,9 @@ def _shared(entries: DataFrame, hot: list[int]) -> DataFrame:
             if len(cols[0]):
                 yield pa.record_batch([pa.array(c) for c in cols], names=["entry", "part", "rep", "centre"])
 
-    def starred(rows: DataFrame) -> DataFrame:
-        return (
-            rows.repartition("entry", "part").sortWithinPartitions("entry", "part", "rep")
-            .mapInArrow(lean(star), "entry long, part int, rep long, centre long")
-        )
-
-    if not hot:
-        return starred(dealt)
-    # A part of a hot entry may have one member, whose partners are in other parts: all of them stay.
-    many = dealt.where(F.col("entry").isin(hot))
-    centre = many.groupBy("entry", "part").agg(F.min("rep").alias("centre"))
-    return starred(dealt.where(~F.col("entry").isin(hot))).unionByName(
-        many.join(centre, ["entry", "part"]).select("entry", "part", "rep", "centre")
+    return (
+        dealt.repartition("entry", "part").sortWithinPartitions("entry", "part", "rep")
+        .mapInArrow(lean(star), "entry long, part int, rep long, centre long")
     )
 
 

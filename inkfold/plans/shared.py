@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,10 @@ BROADCAST_ROWS = 500_000
 #: The keys of a join that are treated as hot have at least this share of all rows, so there are at most as many of them.
 HOT_SHARE = 10_000
 
+#: The driver's heap is asked to shrink where it has grown to this share of its limit, at most once in REST_SECONDS.
+FULL_HEAP, REST_SECONDS = 0.75, 5.0
+_rested = 0.0
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -40,6 +45,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+def rest(spark: SparkSession) -> None:
+    """Lets the driver's JVM give memory back. After many small jobs its heap has grown to its limit, though most of it is
+    free, and the collector shrinks it only when asked."""
+    global _rested
+    jvm = spark._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if time.monotonic() - _rested > REST_SECONDS and runtime.totalMemory() > FULL_HEAP * runtime.maxMemory():
+        jvm.java.lang.System.gc()
+        _rested = time.monotonic()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
@@ -51,6 +67,7 @@ def materialise(df: DataFrame) -> DataFrame:
     # Unlike the default codec's, its buffers don't stay with the executors.
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    rest(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkfold_path = path
     return out
