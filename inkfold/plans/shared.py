@@ -56,6 +56,14 @@ def rest(spark: SparkSession) -> None:
         _rested = time.monotonic()
 
 
+def rest_executors(spark: SparkSession) -> int:
+    """The same for the executors' JVMs: a task for each core. Where a stage has written its table, most of what its
+    executors' heaps grew to is free, and the next stage adds to it. Returns the number of tasks."""
+    n = spark.sparkContext.defaultParallelism
+    asked = spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done"))
+    return len(asked.collect())
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 

@@ -57,3 +57,7 @@ def test_a_full_heap_is_asked_to_shrink(spark, monkeypatch):
     monkeypatch.setattr(shared, "_rested", -1e9)
     shared.materialise(spark.range(3).where(F.col("id") > 0))
     assert shared._rested > 0
+
+
+def test_executors_are_asked_to_shrink(spark):
+    assert shared.rest_executors(spark) == spark.sparkContext.defaultParallelism
