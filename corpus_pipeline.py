@@ -11,12 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import fresh, materialise, sized_join, table
+from inkfold.llm.common import fresh, materialise, rested, sized_join, table, trim
 from inkfold.llm.minhash_dedup import near_texts
 from inkfold.llm.mixing import mix
 from inkfold.llm.quality import good_documents
 from inkfold.llm.queries import bpe_digests
-from inkfold.plans.shared import rest_executors
 
 #: No source's documents are used more than this many times as often as another's: the limit of op10.
 MAX_EPOCHS = 4.0
@@ -26,6 +25,7 @@ HELD_WORDS = 1 << 17
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    rested(spark)
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates the document with the smallest id stays; five words a shingle.
 
     Texts without words are near nothing and stay, whatever other rows their id has."""
-    rest_executors(spark)
+    rested(spark)
     gone = near_texts(docs, shingle_words=5, percent=80).where("not kept and n_shingles > 0").select("doc_id").distinct()
     mark = fresh(docs, "gone")
     marked = sized_join(docs, materialise(gone.withColumn(mark, F.lit(True))), "doc_id", "left")
@@ -43,14 +43,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of small sources come again, as the target weights ask for; none is lost."""
-    rest_executors(spark)
+    rested(spark)
     return mix(docs, max_epochs=MAX_EPOCHS).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The digests of each document's ids and of what they decode to."""
-    rest_executors(spark)
-    return bpe_digests(docs, most_words=HELD_WORDS, chunk=HELD_WORDS // 2)
+    rested(spark)
+    made = bpe_digests(docs, most_words=HELD_WORDS, chunk=HELD_WORDS // 2)
+    trim()
+    return made
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

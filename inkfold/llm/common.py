@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.plans.shared import BROADCAST_ROWS, label_join, materialise, release, sized_join
+from inkfold.plans.shared import BROADCAST_ROWS, label_join, materialise, release, rest_executors, sized_join
 
-__all__ = ["BROADCAST_ROWS", "fresh", "in_parts", "label_join", "lean", "materialise", "octets", "release", "settle", "sized_join", "small_batches", "table", "trim"]
+__all__ = ["BROADCAST_ROWS", "fresh", "in_parts", "label_join", "lean", "materialise", "octets", "release", "rested", "settle", "sized_join", "small_batches", "table", "trim"]
 
 
 #: An Arrow batch has about so many bytes at most.
@@ -78,3 +79,12 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         return
+
+
+def rested(spark: SparkSession) -> None:
+    """Between stages: what is free goes back to the system from the driver's Python, whose dropped tables hold their plans
+    in its JVM, from that JVM and from the executors' JVMs."""
+    gc.collect()
+    trim()
+    spark._jvm.java.lang.System.gc()
+    rest_executors(spark)
