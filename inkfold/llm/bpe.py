@@ -7,8 +7,9 @@ that are one stage, so nothing is shuffled, collected or written between them:
    among the words that the task has met, and goes out as a small row of its own when it is met first;
 2. a fold of higher-order functions encodes each such word: the state is an array with the id of each piece (a byte at
    first) and the rank of the pair that it makes with the next one; each step joins the leftmost pair of least rank and
-   looks up the two ranks that change. The ranks are a literal of two arrays in which the rows of the pairs' table are
-   laid over each other, so that a lookup is two accesses for any vocabulary;
+   looks up the two ranks that change. The ranks are the value of a scalar subquery, two arrays in which the rows of the
+   pairs' table are laid over each other, so that a lookup is two accesses for any vocabulary. Plans name a subquery, but
+   spell a literal out, megabytes that the driver keeps for each execution;
 3. an Arrow step holds the ids of the words met and puts those of each document together.
 
 Decoding looks up the bytes of each id and joins them, in an Arrow step.
@@ -32,7 +33,6 @@ of types that Arrow has. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import json
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -272,22 +272,27 @@ class ByteBpe:
             T.StructField("start", T.ArrayType(T.LongType())),
         ])
         numbered = cut.mapInArrow(lean(_numbering(self.whole, self.pattern, self.bytes, self.pairs, most_words, chunk)), schema)
-        # Optimised to literals, which are named once.
-        entries, shift = (F.from_json(F.lit(json.dumps(x.tolist())), "array<long>") for x in (self.pairs.entries, self.pairs.shift))
-        lengths = F.from_json(F.lit(json.dumps([len(x) for x in self.pieces])), "array<int>")
         start = F.col("start")
 
-        def of_word(e: Column) -> Column:
-            return _let(shift, lambda s: _let(lengths, lambda n: fold(start, e, s, n, long, window)))
+        def of_word(t: Column) -> Column:
+            # Each array taken out of the row once.
+            return _let(t["entries"], lambda e: _let(t["shift"], lambda s: _let(t["lengths"], lambda n: fold(start, e, s, n, long, window))))
 
-        folded = numbered.select(
-            "row", "numbers", "place", F.when(start.isNotNull(), _let(entries, of_word)).alias("ids")
-        )
+        # A subquery has to be a column before it gets into higher-order functions. The optimiser puts it in for the column, whose one use this is.
+        ranked = numbered.withColumn("ranks", self._ranks(df.sparkSession))
+        folded = ranked.select("row", "numbers", "place", F.when(start.isNotNull(), _let(F.col("ranks"), of_word)).alias("ids"))
         fields = [T.StructField(f.name, f.dataType) for f in cut.schema["row"].dataType.fields] if kept else []
         fields += [T.StructField(c, OUTPUTS[what]) for c, what in out.items()]
         tables = {what: self._table(what) for what in ("written", "decoded") if what in out.values()}
         return folded.mapInArrow(lean(_joining(kept, out, tables, chunk)), T.StructType(fields))
 
+    def _ranks(self, spark: SparkSession) -> Column:
+        """What fold() looks up (entries, shift, lengths), by a subquery of one row."""
+        lengths = np.array([len(x) for x in self.pieces], np.int32)
+        made = {"entries": self.pairs.entries, "shift": self.pairs.shift, "lengths": lengths}
+        row = spark.createDataFrame(pa.table({k: pa.array([v], pa.list_(pa.from_numpy_dtype(v.dtype))) for k, v in made.items()}))
+        return row.select(F.struct(*made).alias("ranks")).scalar()
+
     def _table(self, what: str) -> tuple[list[bytes], bytes]:
         """What stands for each id, and between two of them."""
         return ([str(i).encode() for i in range(len(self.pieces))], b",") if what == "written" else (self.pieces, b"")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkfold.llm import minhash_dedup as M
 from inkfold.llm.components import connected_components
+from inkfold.llm.queries import bpe_digests
 from inkfold.plans import shared
 
 
@@ -61,3 +62,22 @@ def test_a_full_heap_is_asked_to_shrink(spark, monkeypatch):
 
 def test_executors_are_asked_to_shrink(spark):
     assert shared.rest_executors(spark) == spark.sparkContext.defaultParallelism
+
+
+def test_plans_of_the_encoder_name_its_ranks(spark):
+    texts = spark.createDataFrame([(1, "unbelievably misspeled wrds"), (2, None)], "doc_id long, text string")
+    made = bpe_digests(texts)
+    plan = made._jdf.queryExecution().executedPlan()
+    # The driver keeps both for each execution; with the ranks spelled out they had 6 MB.
+    assert len(plan.toString()) < 200_000
+    assert len(spark._jvm.org.apache.spark.sql.execution.SparkPlanInfo.fromSparkPlan(plan).toString()) < 200_000
+    # The ranks are no column, of which each row would have a copy.
+    names = [c.name() for c in _outputs(made._jdf.queryExecution().optimizedPlan())]
+    assert "place" in names and "ranks" not in names
+    assert {r.doc_id: r.n_tokens > 0 for r in made.collect()} == {1: True, 2: False}
+
+
+def _outputs(plan):
+    """The columns of a plan and of all below it."""
+    out = [plan.output().apply(i) for i in range(plan.output().size())]
+    return out + [c for i in range(plan.children().size()) for c in _outputs(plan.children().apply(i))]
